@@ -184,3 +184,18 @@ def classify(docs: DataFrame, model: Model, cut: float = CUT, id_column: str = "
 
     kind = dict(docs.dtypes)[id_column]
     return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that score at least ``cut``, with all their columns, in one pass."""
+    spark = ship(docs.sparkSession)
+    sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [sent.value.score(block) for block in count_blocks(batch.column(at))]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

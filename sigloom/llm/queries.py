@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import chat_format, language, mixing, near_dup, quality, url_filter
+import corpus_pipeline
+from sigloom.llm import chat_format, decontaminate, language, mixing, near_dup, quality, substrings, url_filter
 
 HARD_CHAT = r"\### Assistant: </turn> ok"
 
@@ -59,8 +60,8 @@ common AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM coded x JOIN coded y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL
 ), links AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
-), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT a, b FROM both UNION SELECT r.a, l.b FROM reach r JOIN both l ON r.b = l.a),
+), ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ends UNION SELECT r.a, l.b FROM reach r JOIN ends l ON r.b = l.a),
 least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
        d.doc_id <= coalesce(m, d.doc_id) AS kept
@@ -68,6 +69,10 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -89,14 +94,25 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_minhash_near_dup": op2_minhash_near_dup,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality": op4_quality,
         "op5_language": op5_language,
         "op6_mixing": op6_mixing,
         "op8_url_filter": op8_url_filter,
+        "op10_decontamination": op10_decontamination,
+        "pipeline": pipeline,
     }
 
 
