@@ -146,7 +146,7 @@ def sliding_time_features(spark, sf_dir):
     return rounded(S.time_features(windows, ("record_id", "window_index")))
 
 
-QUALITY_CTES = f"""{EVENTS}, {GAPS}, clipped AS (SELECT record_id, sample_index, least(value, 120.0) AS value FROM gaps),
+QUALITY_CTES = f"""{EVENTS}, {GAPS}, clipped AS (SELECT record_id, sample_index, CASE WHEN value IS NOT NULL THEN least(value, 120.0) END AS value FROM gaps),
 finite AS (
   SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY sample_index) AS pos, min(value) OVER (PARTITION BY record_id) AS lo, max(value) OVER (PARTITION BY record_id) AS hi
   FROM clipped WHERE value IS NOT NULL
