@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sigloom.llm import chat_format, decontaminate, language, mixing, near_dup, quality, substrings, url_filter
+from sigloom.llm import chat_format, decontaminate, embedding_dup, language, mixing, near_dup, paragraph_dup, quality, substrings, url_filter
 
 HARD_CHAT = r"\### Assistant: </turn> ok"
 
@@ -90,10 +90,29 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a), counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(m, v.vec_id)) AS component_id, v.vec_id <= coalesce(m, v.vec_id) AS kept
+FROM v LEFT JOIN counts c ON c.vec_id = v.vec_id LEFT JOIN least l ON l.vec_id = v.vec_id
+"""
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dup.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -110,11 +129,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_language": op5_language,
         "op6_mixing": op6_mixing,
+        "op7_embedding_near_dup": op7_embedding_near_dup,
         "op8_url_filter": op8_url_filter,
+        "op9_paragraph_dedup": op9_paragraph_dedup,
         "op10_decontamination": op10_decontamination,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_minhash_near_dup": OP2_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_minhash_near_dup": OP2_SQL, "op7_embedding_near_dup": OP7_SQL}
