@@ -148,10 +148,16 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     nodes = work.save(_sized(reps.select("id", "n", F.explode(F.array(*branches)).alias("node"))), "nodes")
     candidates = work.save(_likely(_leaf_pairs(nodes.where(F.col("size") <= LEAF)), reps), "pairs")
     large = nodes.where(F.col("size") > LEAF)
+    # all later comparisons are among these; their texts are dealt out once
+    involved = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id")))
+    involved = involved.unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
+    docs = work.save(docs.select("doc_id", "text").join(involved, "doc_id"), "texts")
+    work.release()
     stars = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     pending, depth = [candidates], 0
     first = stars.unionByName(_likely(_pivots(large, depth), reps)).distinct()
     edges = work.save(verify(first, docs).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    work.release()
     labels = work.save(components(work, edges), "labels")
     while not large.isEmpty():
         depth += 1
@@ -159,6 +165,7 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
         fits = (F.col("size") <= NODE_MEMBERS) & (F.col("shingles") <= NODE_SHINGLES)
         exact = named.join(states.where(fits & F.col("first")).select("node"), "node")
         found = work.save(_compare_nodes(exact, reps, docs, work), "links")
+        work.release()
         edges = work.save(edges.unionByName(found), "links")
         labels = work.save(components(work, edges), "labels")
         big = named.join(states.where(~fits & F.col("first")).select("node"), "node")
@@ -169,7 +176,7 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
             x, y = (big.select("node", F.col("id").alias(k), F.col("label").alias("l" + k)) for k in "ab")
             pending.append(work.save(_likely(x.join(y, "node").where("a < b and la <> lb").select("a", "b").distinct(), reps), "pairs"))
             break
-        children = big.join(reps.select("id", "sig", "n"), "id").select("id", "n", F.explode(_deep_nodes()).alias("node"))
+        children = big.select("node", "id").join(reps.select("id", "sig", "n"), "id").select("id", "n", F.explode(_deep_nodes()).alias("node"))
         nodes = work.save(_sized(children), "nodes")
         pending.append(work.save(_likely(_cross(_leaf_pairs(nodes.where(F.col("size") <= LEAF)), labels), reps), "pairs"))
         large = nodes.where(F.col("size") > LEAF)
@@ -177,14 +184,18 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
         if not more.isEmpty():
             more = verify(more, docs).select(F.col("a").alias("src"), F.col("b").alias("dst"))
             edges = work.save(edges.unionByName(more), "links")
+            work.release()
             labels = work.save(components(work, edges), "labels")
     rest = pending[0]
     for more in pending[1:]:
         rest = rest.unionByName(more)
     rest = work.save(_cross(rest.distinct(), labels), "rest")
+    work.release()
     if rest.isEmpty():
         return edges
-    return edges.unionByName(verify(rest, docs).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    last = work.save(verify(rest, docs).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    work.release()
+    return edges.unionByName(last)
 
 
 def _states(large: DataFrame, labels: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:

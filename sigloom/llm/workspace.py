@@ -8,6 +8,7 @@ read it.  Only where that setting is absent (tests) is a local folder used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,11 @@ class Workspace:
         out._work_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove work tables that nothing reads any more."""
         for table in tables:
