@@ -127,7 +127,8 @@ def phrases(segments: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarr
     """Phrases that each segment (row of symbols) needs in each language, parsed in step.
 
     A phrase ends where the automaton has no transition; the symbol there begins
-    the next one.  A symbol unknown to a language is a phrase of its own.
+    the next one.  A symbol unknown to a language is a phrase of its own: it leaves
+    the automaton at its root, where any symbol begins a phrase.
     """
     lanes, width = len(segments), model.table.shape[1]
     flat = model.table.reshape(-1)
@@ -141,9 +142,9 @@ def phrases(segments: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarr
         s = columns[t, :live]
         to = flat[state[:live] * width + s[:, None]].astype(np.int64)
         miss = to < 0
-        out[:live] += miss
+        out[:live] += miss | (state[:live] == model.roots[None, :])
         state[:live] = np.where(miss, start[:, s].T, to)
-    return out + 1
+    return out
 
 
 def parse_texts(texts: list[str], model: Model, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
