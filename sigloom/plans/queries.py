@@ -15,6 +15,7 @@ from sigloom.operators import samples as S
 from sigloom.plans import pipeline as pipe
 from sigloom.plans import plotdata
 from sigloom.sources import synthetic as G
+from sigloom.streaming import windows as streaming
 from sigloom.sources.tables import embedding_signals, events_samples, lineitem_samples, to_arrays, to_long
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,6 +373,18 @@ def spectrogram_db(spark, sf_dir):
     return rounded(made.select("record_id", "frame", "bin", "power_db"), 4)
 
 
+@query(
+    """SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end, user_id, count(value) AS n, round(avg(value), 6) AS mean,
+      round(min(value), 6) AS min, round(max(value), 6) AS max, round(sqrt(avg(value * value)), 6) AS rms, round(max(abs(value)) / sqrt(avg(value * value)), 6) AS crest_factor
+    FROM events GROUP BY 1, 2, 3"""
+)
+def daily_window_stats(spark, sf_dir):
+    """The streaming operator over a finished stream."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    made = streaming.windowed_stats(events, "1 day")
+    return rounded(made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}))
+
+
 @query()
 def record_features(spark, sf_dir):
     return rounded(feats.extract_features(embedding_signals(spark, sf_dir), feats.FeatureConfig(_bands(), 0.25, 0.125)))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.kernels import SignalError
+from sigloom.operators.joins import metadata_lookup
 from sigloom.session import ship
 
 TIME_NAMES = {"time", "timestamp", "t", "seconds", "time_s", "time_seconds"}
@@ -57,6 +58,25 @@ def load_signals(
     return records.withColumn("record_id", order.cast("long"))
 
 
+def load_dataset(
+    spark: SparkSession, config, metadata: DataFrame | None = None, labels_by_name: dict[str, str] | None = None, split_channels: bool = False
+) -> DataFrame:
+    """All records of a project's data folder, with labels and facts of a metadata table.
+
+    A record's own label beats ``labels_by_name``, which beats the metadata's; an
+    empty mapped label counts as none.
+    """
+    rows = load_signals(
+        spark, config.paths.data_dir, tuple(config.loading.file_patterns), config.loading.sampling_rate_hz,
+        config.loading.signal_column, config.loading.label_column, split_channels=split_channels,
+    )
+    named = {k: v for k, v in (labels_by_name or {}).items() if v}
+    if named:
+        mapping = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+        rows = rows.withColumn("label", F.coalesce("label", mapping[F.col("record_name")]))
+    return rows if metadata is None else metadata_lookup(rows, metadata)
+
+
 def _by_path():
     from pyspark.sql import Window as W
 

@@ -197,6 +197,15 @@ def test_files(spark, tmp_path):
     assert files.decode_wav(wav(bytes([0, 128, 255]), 1))[1].tolist() == [-1, 0, 0.9921875]
 
 
+def test_dataset_labels(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.txt").write_text("1 2 3")
+    project = config.Project(config.Paths(data_dir=str(tmp_path)), config.Loading(sampling_rate_hz=4.0))
+    meta = spark.createDataFrame([(0, "a", "m"), (1, "b", "m")], "row_pos long, stem string, label string")
+    out = files.load_dataset(spark, project, meta, {"b": "mapped", "a": ""}).orderBy("record_id").collect()
+    assert [r["label"] for r in out] == ["m", "mapped", None] and out[0]["sampling_rate_hz"] == 4
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("loading:\n  sampling_rate_hz: 10\nanalysis:\nfiltering:\n  enabled: true\n  kind: lowpass\n  high_cut_hz: 5\n")
