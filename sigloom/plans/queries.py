@@ -374,7 +374,7 @@ def spectrogram_db(spark, sf_dir):
 
 
 @query(
-    """SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end, user_id, count(value) AS n, round(avg(value), 6) AS mean,
+    """SELECT CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS window_start, CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) + 86400 AS window_end, user_id, count(value) AS n, round(avg(value), 6) AS mean,
       round(min(value), 6) AS min, round(max(value), 6) AS max, round(sqrt(avg(value * value)), 6) AS rms, round(max(abs(value)) / sqrt(avg(value * value)), 6) AS crest_factor
     FROM events GROUP BY 1, 2, 3"""
 )
@@ -382,7 +382,7 @@ def daily_window_stats(spark, sf_dir):
     """The streaming operator over a finished stream."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
     made = streaming.windowed_stats(events, "1 day")
-    return rounded(made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}))
+    return rounded(made.withColumns({c: F.unix_seconds(c) for c in ("window_start", "window_end")}))
 
 
 @query()
