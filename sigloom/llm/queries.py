@@ -90,6 +90,37 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u
+  FROM documents
+), totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, CAST([5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap FROM totals
+), filled AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM ranked WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), leveled AS (SELECT *, max(CASE WHEN cap > level * weight THEN level END) OVER () AS final FROM filled),
+targets AS (
+  SELECT source, source_size, CASE WHEN cap <= level * weight OR final IS NULL THEN cap ELSE final * weight END AS target FROM leveled
+), planned AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS certain FROM targets
+), runs AS (
+  SELECT s.doc_id, s.size, s.u, t.source, source_size, target, certain, target - certain * source_size AS extra,
+         sum(s.size) OVER (PARTITION BY t.source ORDER BY s.u, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS run
+  FROM sized s JOIN planned t ON t.source IS NOT DISTINCT FROM s.source
+), gaps AS (
+  SELECT *, extra - coalesce(max(CASE WHEN run <= extra THEN run END) OVER (PARTITION BY source), 0) AS gap FROM runs
+), last AS (
+  SELECT *, row_number() OVER (PARTITION BY source, NOT (run > extra AND size > 0 AND abs(size - gap) < gap) ORDER BY abs(size - gap), u, doc_id, size) AS place FROM gaps
+)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * least(certain + CASE WHEN run <= extra OR (size > 0 AND abs(size - gap) < gap AND place = 1) THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
+FROM last
+"""
+
+
 def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -138,4 +169,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_minhash_near_dup": OP2_SQL, "op7_embedding_near_dup": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_minhash_near_dup": OP2_SQL, "op6_mixing": OP6_SQL, "op7_embedding_near_dup": OP7_SQL}
