@@ -19,11 +19,11 @@ combination, so no phrase, however frequent, meets in one task.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ from sigloom.llm.workspace import Workspace
 LENGTH = 200
 WIDTH = 16
 RADIUS = 16
-LOOKUPS = 4  # parts in which the strings are looked up one after the other, to bound the disk
+LOOKUPS = 3  # parts in which the strings are looked up one after the other, to bound the disk
 
 
 class Parse:
@@ -61,16 +61,27 @@ class Parse:
         """(start, end, triggers) of a row, as positions in the slice."""
         return int(self.off[k]), int(self.off[k + 1]), self.triggers[self.first[k] : self.first[k + 1]]
 
-    def groups(self, start: int, end: int, triggers: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, context) fingerprints of a row's groups: the strings that start before the
-        first trigger, between two triggers, or behind the last.  Phrase 0: not a whole phrase."""
-        begin = np.concatenate([[start], triggers])
-        stop = np.concatenate([triggers, [end]])
-        phrase = np.zeros(len(begin), np.uint64)
-        if len(triggers) > 1:
-            phrase[1:-1] = mix64(span_hash(self.prefix, triggers[:-1], triggers[1:] + WIDTH)) | np.uint64(1)
-        context = mix64(span_hash(self.prefix, np.maximum(start, begin - RADIUS), np.minimum(end, stop - 1 + length)))
-        return phrase, context
+    def groups(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, number in the row, phrase, context) of all groups of all rows that hold a string:
+        the strings that start before a row's first trigger, between two triggers, or behind the
+        last.  Phrase 0: not a whole phrase."""
+        size = np.diff(self.off)
+        count = np.diff(self.first)
+        rows = np.flatnonzero(size >= length)
+        many = count[rows] + 1
+        head = np.cumsum(many) - many
+        row = np.repeat(rows, many)
+        number = np.arange(int(many.sum())) - np.repeat(head, many)
+        place = self.first[row] + number  # of the trigger that ends the group
+        last = number == np.repeat(many, many) - 1
+        bounded = np.append(self.triggers, 0)
+        begin = np.where(number == 0, self.off[row], bounded[np.maximum(place - 1, 0)])
+        stop = np.where(last, self.off[row + 1], bounded[place])
+        phrase = np.zeros(len(row), np.uint64)
+        whole = (number > 0) & ~last
+        phrase[whole] = mix64(span_hash(self.prefix, begin[whole], stop[whole] + WIDTH)) | np.uint64(1)
+        context = mix64(span_hash(self.prefix, begin, np.minimum(self.off[row + 1], stop - 1 + length)))
+        return row, number, phrase, context
 
 
 def _parses(column: pa.Array, length: int) -> Iterator[tuple[int, Parse, int]]:
@@ -88,29 +99,17 @@ def _phrases(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            parts: list[tuple] = []
-            size = 0
-            for at, parse, k in _parses(batch.column(1), length):
-                phrase, context = parse.groups(*parse.row(k), length)
-                parts.append((phrase, context, np.full(len(phrase), keys[at]), np.arange(len(phrase), dtype=np.int32)))
-                size += len(phrase)
-                if size > 200_000:
-                    yield _batch(parts)
-                    parts, size = [], 0
-            if parts:
-                yield _batch(parts)
+            for first, _, data, off in slices(batch.column(1)):
+                row, number, phrase, context = Parse(data, off).groups(length)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(phrase.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys[first + row]), pa.array(number.astype(np.int32))],
+                        ["phrase", "context", "k", "i"],
+                    )
 
     return docs.mapInArrow(run, "phrase long, context long, k long, i int")
 
 
-def _batch(parts: list[tuple]) -> pa.RecordBatch:
-    a, b, c, d = (np.concatenate(x) for x in zip(*parts))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(c, pa.int64()), pa.array(d, pa.int32())],
-        ["phrase", "context", "k", "i"],
-    )
-
-
 def _strings(marked: DataFrame, length: int) -> DataFrame:
     """From (k, text, marks): single strings to look up, strings to be found, whole repeated runs.
 
@@ -174,20 +173,15 @@ def _string_batch(parts: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _release(work: Workspace) -> None:
-    """Let Spark remove the shuffle files of plans that no longer exist."""
-    gc.collect()
-    work.spark.sparkContext._jvm.System.gc()
-
-
 def repeated_starts(keyed: DataFrame, work: Workspace, length: int = LENGTH) -> DataFrame:
     """(k, starts): for rows ``keyed(k, text)`` the runs [a, b] of starts of repeated strings,
     as a flat list of pairs; rows without any are absent."""
-    groups = _phrases(keyed, length)
+    groups = work.save(_phrases(keyed, length), "phrases")
     counted = groups.where("phrase <> 0").groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
-    again = groups.where("phrase <> 0").join(counted, "phrase").select("context", "k", "i")
+    again = groups.where("phrase <> 0").join(counted.hint("shuffle_hash"), "phrase").select("context", "k", "i")
     again = work.save(again.unionByName(groups.where("phrase = 0").select("context", "k", "i")), "repeated-phrases")
-    _release(work)
+    work.drop(groups)
+    work.release()
     contexts = (
         again.groupBy("context")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "i")).alias("first"))
@@ -196,24 +190,24 @@ def repeated_starts(keyed: DataFrame, work: Workspace, length: int = LENGTH) ->
     )
     is_first = F.coalesce((F.col("first.k") == F.col("k")) & (F.col("first.i") == F.col("i")), F.lit(False)).cast("int")
     marks = (
-        again.join(contexts, "context", "left")
+        again.join(contexts.hint("shuffle_hash"), "context", "left")
         .select("k", (F.col("i") * 4 + F.coalesce("full", F.lit(0)) + is_first).alias("mark"))
         .groupBy("k")
         .agg(F.collect_list("mark").alias("marks"))
     )
     marks = work.save(marks, "marks")
     work.drop(again)
-    _release(work)
+    work.release()
     marked = keyed.join(marks, "k").select("k", "text", "marks")
     strings = work.save(_strings(marked, length), "strings")
-    _release(work)
+    work.release()
     found = None
     for part in range(LOOKUPS):
         here = strings.where((F.col("kind") < 2) & (F.pmod("fp", F.lit(LOOKUPS)) == part))
         twice = here.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind")).where("n > 1 and kind = 0").select("fp")
-        hit = work.save(here.where("kind = 0").select("fp", "k", "a").join(twice, "fp", "left_semi").select("k", "a", F.col("a").alias("b")), "found")
+        hit = work.save(here.where("kind = 0").select("fp", "k", "a").join(twice.hint("shuffle_hash"), "fp", "left_semi").select("k", "a", F.col("a").alias("b")), "found")
         found = hit if found is None else found.unionByName(hit)
-        _release(work)
+        work.release()
     runs = strings.where("kind = 2").select("k", "a", "b").unionByName(found)
     return runs.groupBy("k").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("starts"))
 
@@ -245,7 +239,7 @@ def removed_spans(starts: list[int] | None, size: int, length: int) -> list[tupl
 def _join_starts(docs: DataFrame, work: Workspace, length: int) -> DataFrame:
     keyed = keyed_rows(docs)
     starts = work.save(repeated_starts(keyed.select("k", "text"), work, length), "starts")
-    _release(work)
+    work.release()
     return keyed.join(starts, "k", "left").drop("k")
 
 
@@ -289,15 +283,14 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     work = Workspace(docs.sparkSession, "substrings")
     columns = docs.columns
     joined = _join_starts(docs, work, length)
-    cut_text = F.pandas_udf(_cutter(length), "string")
+    cut_text = _cutter(length)
     cut = F.when(F.col("starts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut_text("text", "starts"))
     return joined.withColumn("text", cut).select(*columns)
 
 
 def _cutter(length: int):
-    import pandas as pd
-
-    def cut(text: pd.Series, starts: pd.Series) -> pd.Series:
+    @F.pandas_udf("string")
+    def cut(text, starts):
         out = []
         for t, s in zip(text, starts):
             if t is None or s is None:
