@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sigloom.llm.words import slices, word_hashes
 from sigloom.session import ship
 
-SAMPLE_PER_LABEL = 1000  # bound of the fit: labelled rows of each label value
+SAMPLE_PER_LABEL = 700  # bound of the fit: labelled rows of each label value
 RANK = 64
 NEIGHBOURS = 15
 SHARPNESS = 4.0
