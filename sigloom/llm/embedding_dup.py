@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sigloom.llm.workspace import Workspace, components
 
 COSINE = 0.93
-SHARD = 2048  # vectors of a graph at most, about
+SHARD = 8192  # vectors of a graph at most, about
 BLOCK = 2048  # queries of a task's block at most, about
 LINKS = 16  # neighbours on upper layers; twice as many on the lowest
 BEAM = 32
@@ -35,6 +35,7 @@ class Graph:
     def __init__(self, unit: np.ndarray, seed: int = 0):
         n = len(unit)
         self.unit = unit
+        self.coarse = unit.astype(np.float32)  # what walks are led by; hits are verified in double precision
         rng = np.random.default_rng(seed)
         level = np.minimum((-np.log(rng.random(n)) / np.log(LINKS)).astype(np.int64), 6)
         if n:
@@ -62,30 +63,36 @@ class Graph:
                 among = own[candidates] @ own[candidates].T
                 towards = near[i, candidates]
                 kept: list[int] = []
+                # a neighbour is kept if it is nearer to the vector than to all kept before it
+                open_ = np.ones(pool, bool)
                 for j in range(pool):
-                    # a neighbour is kept if it is nearer to the vector than to all kept before it
-                    if len(kept) < most and all(among[j, k] < towards[j] for k in kept):
+                    if open_[j]:
                         kept.append(j)
-                rest = [j for j in range(pool) if j not in kept][: most - len(kept)]
+                        if len(kept) == most:
+                            break
+                        open_ &= among[j] < towards
+                have = set(kept)
+                rest = [j for j in range(pool) if j not in have][: most - len(kept)]
                 chosen = candidates[kept + rest]
                 table[nodes[a + i], : len(chosen)] = nodes[chosen]
                 for c in nodes[chosen].tolist():
                     back[c].append(int(nodes[a + i]))
         for i in nodes.tolist():
-            have = set(table[i, :most].tolist())
-            extra = [j for j in back[i] if j not in have][:most]
+            taken = set(table[i, :most].tolist())
+            extra = [j for j in back[i] if j not in taken][:most]
             table[i, most : most + len(extra)] = extra
         return table
 
     def search(self, queries: np.ndarray, beam: int, threshold: float) -> list[np.ndarray]:
         """For each query the vectors with a cosine of at least ``threshold`` that its beam met."""
+        queries, threshold = queries.astype(np.float32), threshold - 1e-5
         at = np.full(len(queries), self.entry)
         rows = np.arange(len(queries))
         for nodes, table in reversed(self.layers[1:]):
-            best = np.einsum("ij,ij->i", queries, self.unit[at])
+            best = np.einsum("ij,ij->i", queries, self.coarse[at])
             for _ in range(len(nodes)):
                 near = table[at]
-                score = np.where(near >= 0, np.einsum("ij,ikj->ik", queries, self.unit[near]), -np.inf)
+                score = np.where(near >= 0, np.einsum("ij,ikj->ik", queries, self.coarse[near]), -np.inf)
                 top = score.argmax(axis=1)
                 better = score[rows, top] > best
                 if not better.any():
@@ -95,31 +102,47 @@ class Graph:
         return self._lowest(queries, at, beam, threshold)
 
     def _lowest(self, queries: np.ndarray, start: np.ndarray, beam: int, threshold: float) -> list[np.ndarray]:
-        """Beam search on the lowest layer: a query expands its best open vectors until the beam
-        holds none better, and all vectors above the threshold beyond that."""
-        n, table = len(self.unit), self.layers[0][1]
-        rows = np.arange(len(queries))
-        score = np.full((len(queries), n), -np.inf)
-        score[rows, start] = np.einsum("ij,ij->i", queries, self.unit[start])
-        opened = np.zeros((len(queries), n), bool)
-        live = rows
+        """Beam search on the lowest layer, all queries in step: each opens its best closed vector
+        until its beam holds none.  A beam that is full of hits is too narrow: its query is asked
+        again with one four times as wide."""
+        n, table, count = len(self.unit), self.layers[0][1], len(queries)
+        beam = min(beam, n)
+        ids = np.full((count, beam), -1, np.int64)
+        score = np.full((count, beam), -np.inf, np.float32)
+        closed = np.zeros((count, beam), bool)
+        seen = np.zeros((count, n), bool)
+        ids[:, 0], score[:, 0], closed[:, 0] = start, np.einsum("ij,ij->i", queries, self.coarse[start]), True
+        seen[np.arange(count), start] = True
+        live = np.arange(count)
         while len(live):
-            waiting = np.where(opened[live], -np.inf, score[live])
+            waiting = np.where(closed[live], score[live], -np.inf)
             top = waiting.argmax(axis=1)
-            value = waiting[np.arange(len(live)), top]
-            k = min(beam, n) - 1
-            edge = -np.partition(-score[live], k, axis=1)[:, k]
-            go = np.isfinite(value) & ((value >= edge) | (value >= threshold))
+            go = waiting[np.arange(len(live)), top] > -np.inf
             live, top = live[go], top[go]
             if not len(live):
                 break
-            opened[live, top] = True
-            near = table[top]
-            value = np.where(near >= 0, np.einsum("ij,ikj->ik", queries[live], self.unit[near]), -np.inf)
-            r = np.repeat(live, near.shape[1]).reshape(near.shape)
-            ok = near >= 0
-            score[r[ok], near[ok]] = value[ok]
-        return [np.flatnonzero(s >= threshold) for s in score]
+            closed[live, top] = False
+            near = table[ids[live, top]]
+            new = (near >= 0) & ~seen[live[:, None], near]
+            value = np.where(new, np.einsum("ij,ikj->ik", queries[live], self.coarse[near]), np.float32(-np.inf))
+            row = np.repeat(live, near.shape[1]).reshape(near.shape)
+            seen[row[new], near[new]] = True
+            all_score = np.concatenate([score[live], value], axis=1)
+            keep = np.argpartition(-all_score, beam - 1, axis=1)[:, :beam]
+            score[live] = np.take_along_axis(all_score, keep, 1)
+            ids[live] = np.take_along_axis(np.concatenate([ids[live], near], axis=1), keep, 1)
+            closed[live] = np.take_along_axis(np.concatenate([closed[live], new], axis=1), keep, 1)
+        hit = score >= threshold
+        out = [ids[i][hit[i]] for i in range(count)]
+        full = np.flatnonzero(hit.all(axis=1))
+        if beam < n and len(full) and 256 * beam >= n:
+            # comparing all of the shard costs less than the walk of the next beam
+            for i, cosine in zip(full.tolist(), queries[full] @ self.coarse.T):
+                out[i] = np.flatnonzero(cosine >= threshold)
+        elif beam < n and len(full):
+            for i, found in zip(full.tolist(), self._lowest(queries[full], start[full], 4 * beam, threshold)):
+                out[i] = found
+        return out
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -174,6 +197,7 @@ def _query_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i in range(batch.num_rows):
             graph = Graph.__new__(Graph)
             graph.unit, graph.layers, graph.entry = pickle.loads(batch.column("graph")[i].as_py())
+            graph.coarse = graph.unit.astype(np.float32)
             ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
             copies = batch.column("copies")[i].values.to_numpy(zero_copy_only=False)
             own = batch.column("query_ids")[i].values.to_numpy(zero_copy_only=False)
