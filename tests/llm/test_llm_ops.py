@@ -408,6 +408,39 @@ def test_cuts_follow_the_words_alone():
     assert paragraph_dup.bands(0.75, 0.98) == 3
 
 
+def test_near_copies_of_lines_and_short_lines_are_found(spark):
+    rng = random.Random(21)
+    rows, pairs = [], 40
+    for i in range(pairs):
+        line = prose(rng, 50, 5000).split()
+        near = list(line)
+        near[rng.randrange(12, 38)] = "changed"  # 46 shingles, at most 5 differ: 41 / 51 = .80
+        rows.append((2 * i, f"{prose(rng, 30, 5000)}\n{' '.join(line)}\n{prose(rng, 30, 5000)}"))
+        rows.append((2 * i + 1, f"{prose(rng, 43, 5000)}\n{' '.join(near)}\n{prose(rng, 30, 5000)}"))
+    rows += [(200, f"{prose(rng, 30, 5000)}\nall rights are reserved\n"), (201, f"All rights are reserved\n\n{prose(rng, 30, 5000)}")]
+    got = [r for r in paragraph_dup.repeated_paragraphs(docs(spark, rows)).collect() if r["unit"] == "line"]
+    assert {(r["doc_id"], r["start_word"], r["n_words"]) for r in got if r["doc_id"] >= 200} == {(200, 30, 4), (201, 0, 4)}
+    whole = {r["doc_id"] // 2 for r in got if r["n_words"] == 50 and not r["kept"]}
+    assert len(whole - {100}) >= 0.95 * pairs and {r["n_words"] for r in got} == {4, 50}
+
+
+def test_edited_passages_inside_lines_are_found(spark):
+    rng = random.Random(22)
+    rows, pairs = [], 40
+    for i in range(pairs):
+        passage = prose(rng, 60, 5000).split()
+        near = list(passage)
+        near[rng.randrange(60)] = "changed"
+        rows.append((2 * i, f"{prose(rng, 61, 5000)} {' '.join(passage)} {prose(rng, 50, 5000)}"))
+        rows.append((2 * i + 1, f"{prose(rng, 47, 5000)} {' '.join(near)} {prose(rng, 50, 5000)}"))
+    covered = {}
+    for r in paragraph_dup.repeated_paragraphs(docs(spark, rows)).collect():
+        if r["doc_id"] % 2:
+            covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    share = [len(covered.get(2 * i + 1, set()) & set(range(47, 107))) / 60 for i in range(pairs)]
+    assert sum(x > 0 for x in share) >= 0.95 * pairs and sum(share) / pairs >= 0.75
+
+
 # --- benchmark
 
 
