@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.llm import chat_format, decontaminate, embedding_dup, language, mixing, near_dup, paragraph_dup, quality, queries, substrings, url_filter, words
+from sigloom.llm.workspace import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 HARD = [r"\### Assistant: </turn> ok", "", "\\", "\\\\### \\</turn>", "### ", "</turn>\n### user: x </turn>\n", "a\n", "é\U0001f600 </turn", "####  </turn></turn>", " \\"]
@@ -441,6 +442,24 @@ def test_edited_passages_inside_lines_are_found(spark):
     assert sum(x > 0 for x in share) >= 0.95 * pairs and sum(share) / pairs >= 0.75
 
 
+def test_buckets_that_tokens_do_not_part_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(paragraph_dup, "LEAF", 2)
+    monkeypatch.setattr(paragraph_dup, "BUCKET", 4)
+    monkeypatch.setattr(paragraph_dup, "DEPTH", 0)
+    rng = random.Random(23)
+    common, rows = prose(rng, 40, 5000), []
+    for i in range(20):
+        own = prose(rng, 40, 5000)
+        rows += [(2 * i, f"{common} {own}"), (2 * i + 1, f"{common} {own} end")]
+    work = Workspace(spark, "test")
+    texts = docs(spark, rows).select(F.col("doc_id").alias("k"), "text")
+    units = paragraph_dup._paragraphs(texts, "line", with_tokens=True)
+    classes = work.save(units.withColumnRenamed("k", "lo"), "classes")
+    owner = {r["d"]: r["lo"] for r in classes.collect()}
+    links = {tuple(sorted((owner[r["src"]], owner[r["dst"]]))) for r in paragraph_dup._links(classes, texts, "line", work).collect()}
+    assert links == {(2 * i, 2 * i + 1) for i in range(20)}
+
+
 # --- benchmark
 
 
