@@ -454,7 +454,7 @@ def test_buckets_that_tokens_do_not_part_are_compared_whole(spark, monkeypatch):
     work = Workspace(spark, "test")
     texts = docs(spark, rows).select(F.col("doc_id").alias("k"), "text")
     units = paragraph_dup._paragraphs(texts, "line", with_tokens=True)
-    classes = work.save(units.withColumnRenamed("k", "lo"), "classes")
+    classes = work.save(units.withColumnRenamed("k", "lo").withColumn("hi", F.col("lo")), "classes")
     owner = {r["d"]: r["lo"] for r in classes.collect()}
     links = {tuple(sorted((owner[r["src"]], owner[r["dst"]]))) for r in paragraph_dup._links(classes, texts, "line", work).collect()}
     assert links == {(2 * i, 2 * i + 1) for i in range(20)}
