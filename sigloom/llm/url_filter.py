@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from sigloom.llm.workspace import Workspace
 
 ORDER = 5  # longest gram: four symbols of context and the symbol itself
-BUCKETS = 1 << 16  # for each gram length; bounds the broadcast model at any input size
+HOT = 1024  # grams with more than this part of all places are joined by broadcast, so at most as many
+UNIT = float(1 << 32)  # log ratios are added as whole parts of this, in any order alike
 SMOOTHING = 2.0
 ALPHABET = 256.0
 CALIBRATION_FOLDS = 5
@@ -76,63 +77,46 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
     return pattern, verdict
 
 
-def _grams(rows: DataFrame) -> DataFrame:
-    """One row per symbol of ``url``, the end sign included, with the buckets of the grams
-    of 1 to ORDER symbols that end there (g1 ...) and of their contexts (c1 ...)."""
-    symbols = F.filter(F.split(F.concat(F.coalesce(F.col("url"), F.lit("")), F.lit(END)), ""), lambda c: c != "")
-    out = rows.withColumn("symbols", symbols).select("*", F.explode(F.sequence(F.lit(1), F.size("symbols"))).alias("at"))
+def _ending(text: Column, at: Column, n: int) -> Column:
+    """The ``n`` symbols of ``text`` that end at ``at``, or as many as there are."""
+    return text.substr(F.greatest(at - (n - 1), F.lit(1)), F.least(at, F.lit(n)))
 
-    def gram(n: int, back: int) -> Column:
-        """The bucket of the n symbols that end ``back`` symbols before; null if there are fewer."""
-        first = F.col("at") - (n + back - 1)
-        if n == 0:
-            return F.lit(bucket_base(0))
-        taken = F.slice("symbols", F.greatest(first, F.lit(1)), F.lit(n))
-        return F.when(first >= 1, bucket_of(F.concat_ws("", taken), n))
 
-    keys = [gram(n, 0).alias(f"g{n}") for n in range(1, ORDER + 1)]
-    return out.select(*rows.columns, *keys, *[gram(n - 1, 1).alias(f"c{n}") for n in range(1, ORDER + 1)])
+def _places(text: Column) -> Column:
+    return F.sequence(F.lit(1), F.length(text))
 
 
-def bucket_base(n: int) -> int:
-    return n * BUCKETS
+def _grams(text: Column, n: int) -> Column:
+    return F.transform(F.filter(_places(text), lambda at: at >= n), lambda at: _ending(text, at, n))
 
 
-def bucket_of(gram: Column, n: int) -> Column:
-    return (F.pmod(F.xxhash64(F.lit(n), gram), F.lit(BUCKETS)) + bucket_base(n)).cast("int")
+def _text() -> Column:
+    return F.concat(F.coalesce(F.col("url"), F.lit("")), F.lit(END))
 
 
 def fit(labelled: DataFrame, work: Workspace) -> DataFrame:
-    """The model ``(bucket, ratio)``: log P_allow - log P_block of a gram's last symbol.
+    """The model ``(gram, ratio)``: log P_allow - log P_block of a gram's last symbol.
 
-    ``labelled(url, verdict)``.  Gram counts cover every labelled url and grow with
-    the input; they are hashed, so that the model has ORDER * BUCKETS rows at most
-    at any size.  A gram's probability is its count in its context smoothed with
-    the next shorter gram's, the shortest with a uniform distribution.  An empty
-    input gives an empty model.
+    ``labelled(url, verdict)``.  Every gram of 1 to ORDER symbols of the labelled urls
+    has its own counts, so the model grows with the input; it stays distributed.  A
+    gram's probability is its count in its context smoothed with the next shorter
+    gram's, the shortest with a uniform distribution.  An empty input gives an empty
+    model.
     """
-    grams = _grams(labelled)
-    each = grams.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("n"),
-                        F.col(f"g{n}").alias("bucket"),
-                        F.col(f"c{n}").alias("context"),
-                        (F.col(f"g{n - 1}") if n > 1 else F.lit(bucket_base(0))).alias("shorter"),
-                    )
-                    for n in range(1, ORDER + 1)
-                ]
-            )
-        ).alias("x"),
+    text = _text()
+    grams = F.concat(*[_grams(text, n) for n in range(1, ORDER + 1)])
+    each = labelled.select(
+        F.explode(grams).alias("gram"),
         (F.col("verdict") == "allow").cast("long").alias("a"),
         (F.col("verdict") == "block").cast("long").alias("b"),
-    ).where("x.bucket is not null")
-    counts = each.groupBy("x.n", "x.bucket").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("x.context").alias("context"), F.min("x.shorter").alias("shorter")
     )
-    counts = work.save(counts, "grams")
+    n = F.length("gram")
+    counts = work.save(
+        each.groupBy("gram")
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        .select("gram", "a", "b", n.alias("n"), F.col("gram").substr(F.lit(1), n - 1).alias("context"), F.col("gram").substr(F.lit(2), n - 1).alias("shorter")),
+        "grams",
+    )
     contexts = counts.groupBy("context").agg(F.sum("a").alias("context_a"), F.sum("b").alias("context_b"))
     shorter = None
     model = None
@@ -141,11 +125,11 @@ def fit(labelled: DataFrame, work: Workspace) -> DataFrame:
         if shorter is None:
             level = level.withColumn("pa0", F.lit(1.0 / ALPHABET)).withColumn("pb0", F.lit(1.0 / ALPHABET))
         else:
-            level = level.join(shorter.select(F.col("bucket").alias("shorter"), F.col("pa").alias("pa0"), F.col("pb").alias("pb0")), "shorter")
-        level = level.select("bucket", _smoothed("a").alias("pa"), _smoothed("b").alias("pb"))
+            level = level.join(shorter.select(F.col("gram").alias("shorter"), F.col("pa").alias("pa0"), F.col("pb").alias("pb0")), "shorter")
+        level = level.select("gram", _smoothed("a").alias("pa"), _smoothed("b").alias("pb"))
         shorter = level
         model = level if model is None else model.unionByName(level)
-    return work.save(model.select("bucket", (F.log("pa") - F.log("pb")).alias("ratio")), "model")
+    return work.save(model.select("gram", (F.log("pa") - F.log("pb")).alias("ratio")), "model")
 
 
 def _smoothed(side: str) -> Column:
@@ -155,13 +139,25 @@ def _smoothed(side: str) -> Column:
 def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     """``(url, score)``: the mean log ratio per symbol under the longest gram known.
 
-    The model goes to every executor: it has ORDER * BUCKETS rows at most.
+    Each distinct run of ORDER symbols is looked up once, by joins of the grams that
+    end it.  Runs that fill more than a HOT-th of all places are broadcast, all others
+    meet their urls in a join by the run.
     """
-    rows = _grams(urls.select("url"))
+    work = Workspace(urls.sparkSession, "url-score")
+    text = _text()
+    rows = urls.select("url", F.explode(F.transform(_places(text), lambda at: _ending(text, at, ORDER))).alias("run"))
+    runs = rows.groupBy("run").agg(F.count(F.lit(1)).alias("places"))
     for n in range(ORDER, 0, -1):
-        rows = rows.join(F.broadcast(model.select(F.col("bucket").alias(f"g{n}"), F.col("ratio").alias(f"r{n}"))), f"g{n}", "left")
+        # what is shorter than n has no such gram
+        end = F.when(F.length("run") >= n, F.col("run").substr(F.length("run") - (n - 1), F.lit(n)))
+        known = model.where(F.length("gram") == n).select(F.col("gram").alias(f"g{n}"), F.col("ratio").alias(f"r{n}"))
+        runs = runs.withColumn(f"g{n}", end).join(known, f"g{n}", "left")
     longest = F.coalesce(*[F.col(f"r{n}") for n in range(ORDER, 0, -1)], F.lit(0.0))
-    return rows.groupBy("url").agg(F.avg(longest).alias("score"))
+    runs = work.save(runs.select("run", "places", F.round(longest * UNIT).cast("long").alias("part")), "runs")
+    hot = F.col("places") * HOT > F.lit(runs.agg(F.sum("places")).first()[0] or 0)
+    often = F.broadcast(runs.where(hot).select("run", "part"))
+    parts = rows.join(often, "run").unionByName(rows.join(often, "run", "left_anti").join(runs.where(~hot).select("run", "part"), "run"))
+    return parts.groupBy("url").agg((F.sum("part") / F.count(F.lit(1)) / UNIT).alias("score"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -542,3 +542,35 @@ def test_pipeline_stages_chain(spark):
     assert np.mean(judged) > 0.9
     out = corpus_pipeline.run(spark, folder)
     assert 0 < out.count() <= docs_.count() and corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_url_scores_equal_a_plain_model_beyond_65536_grams(spark):
+    rng = random.Random(25)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    urls = [("http://" + "".join(rng.choices(letters, k=24)), rng.choice(["allow", "block"])) for _ in range(5000)]
+    count, context = {}, {}
+    for u, v in urls:
+        for at in range(1, len(u) + 2):
+            for n in range(1, min(at, 5) + 1):
+                g = (u + "\n")[at - n : at]
+                count[g, v] = count.get((g, v), 0) + 1
+                context[g[:-1], n, v] = context.get((g[:-1], n, v), 0) + 1
+    assert len({g for g, _ in count if len(g) == 5}) > 65_536
+
+    def p(g, v):
+        below = p(g[1:], v) if len(g) > 1 else 1 / 256
+        return (count.get((g, v), 0) + 2 * below) / (context.get((g[:-1], len(g), v), 0) + 2)
+
+    def ratio(run):
+        for n in range(len(run), 0, -1):
+            g = run[-n:]
+            if (g, "allow") in count or (g, "block") in count:
+                return np.log(p(g, "allow")) - np.log(p(g, "block"))
+        return 0.0
+
+    asked = [u for u, _ in urls[:50]] + ["http://" + "".join(rng.choices(letters + "é", k=24)) for _ in range(50)]
+    model = url_filter.fit(spark.createDataFrame(urls, "url string, verdict string"), Workspace(spark, "t"))
+    got = {r["url"]: r["score"] for r in url_filter.score(spark.createDataFrame([(u,) for u in asked], "url string"), model).collect()}
+    for u in asked:
+        t = u + "\n"
+        assert got[u] == pytest.approx(np.mean([ratio(t[max(0, at - 5) : at]) for at in range(1, len(t) + 1)]), abs=1e-6)
