@@ -20,14 +20,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each near-duplicate group."""
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    ids = docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs
-    return ids.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document, the one with the smallest doc_id, of each near-duplicate group; all rows without doc_id.
+
+    Rows that share a doc_id are documents of their own here, in the order of their
+    texts: they go only where their texts are linked.
+    """
+    if not _repeats(docs):
+        kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # the row's number in the order of doc_id stands for it
+    named = docs.where("doc_id is not null").orderBy("doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns))
+    rows = Workspace(spark, "pipeline-rows").save(named.withColumn("row_key", F.monotonically_increasing_id()), "rows")
+    kept = near_dup.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text")).where("kept")
+    chosen = rows.join(kept.select(F.col("doc_id").alias("row_key")), "row_key", "left_semi")
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    """Whether a doc_id repeats or is null."""
+    return not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -574,3 +574,17 @@ def test_url_scores_equal_a_plain_model_beyond_65536_grams(spark):
     for u in asked:
         t = u + "\n"
         assert got[u] == pytest.approx(np.mean([ratio(t[max(0, at - 5) : at]) for at in range(1, len(t) + 1)]), abs=1e-6)
+
+
+def test_rows_without_an_id_of_their_own_pass_the_near_dup_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(24)
+    a, b, c, d = (prose(rng, 60, 5000) for _ in range(4))
+    rows = [(None, a), (None, b), (1, a), (2, b), (2, c), (3, c), (4, d), (4, d + " end"), (5, ""), (5, None)]
+    got = corpus_pipeline.near_dup_stage(spark, docs(spark, rows), "")
+    assert got.columns == docs(spark, rows).columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    four = [r for r in kept if r[0] == 4]
+    assert len(four) == 1 and sorted(map(str, set(kept) - set(four))) == sorted(map(str, [(None, a), (None, b), (1, a), (2, b), (2, c), (5, ""), (5, None)]))
+    assert len(kept) == 8
