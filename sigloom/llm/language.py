@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,10 @@ from sigloom.session import ship
 SAMPLE_ROWS = 200  # bounds of the fit: labelled rows of a language, their characters, all languages' characters
 SAMPLE_CHARS = 24_000
 ALL_CHARS = 1_200_000
-SYMBOLS = 63  # most frequent letters; all else is symbol 0
+SYMBOLS = 63  # most frequent letters, whose transitions are a table; those of all others are sorted keys
 SEGMENT = 512  # symbols parsed side by side
 LANES = 1024
+SHIFT = 21  # bits of a symbol in a key
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
@@ -60,35 +62,63 @@ class SuffixAutomaton:
                     link[q] = link[now] = copy
             last = now
         self.table = np.full((len(step), alphabet), -1, np.int32)
+        self.rare: list[tuple[int, int, int]] = []  # (state, symbol, state) of symbols beyond the table
         for state, out in enumerate(step):
             for c, to in out.items():
-                self.table[state, c] = to
+                if c < alphabet:
+                    self.table[state, c] = to
+                else:
+                    self.rare.append((state, c, to))
 
 
 @dataclass
 class Model:
-    """Code point classes and all languages' automata in one table; bounded by ALL_CHARS."""
+    """Symbols of the letters learnt and all languages' automata; bounded by ALL_CHARS."""
 
     languages: list[str]
     letters: dict[int, int]
     table: np.ndarray
     roots: np.ndarray
+    rare_keys: np.ndarray
+    rare_states: np.ndarray
 
     def lookup(self) -> np.ndarray:
-        out = np.zeros(0x110000, np.uint8)
-        for point, symbol in self.letters.items():
-            out[point] = symbol
+        """The symbol of every code point: 0 for what is no letter, the last for letters in no sample."""
+        points, lower = all_letters()
+        unknown = len(self.letters) + 1
+        known = np.full(0x110000, unknown, np.min_scalar_type(unknown))
+        known[list(self.letters)] = list(self.letters.values())
+        out = np.zeros(0x110000, known.dtype)
+        out[points] = known[lower]
         return out
 
+    def rare(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Where symbols beyond the table lead, or -1."""
+        keys = (states << SHIFT) | symbols
+        if not len(self.rare_keys):
+            return np.full(keys.shape, -1, np.int64)
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == keys, self.rare_states[at], -1)
+
 
 def letter_of(point: int) -> int:
     """The lower-case code point of a letter, 0 for all else."""
     low = chr(point).lower()
-    return ord(low) if len(low) == 1 and LETTER.match(low) else 0
+    if len(low) != 1:
+        low = chr(point)
+    return ord(low) if LETTER.match(low) else 0
+
+
+@lru_cache(maxsize=1)
+def all_letters() -> tuple[np.ndarray, np.ndarray]:
+    """All code points that are letters and their lower case."""
+    lower = np.array([letter_of(p) for p in range(0x110000)], np.int64)
+    points = np.flatnonzero(lower)
+    return points, lower[points]
 
 
 def symbols_of(points: np.ndarray, lookup: np.ndarray) -> np.ndarray:
-    """Letter classes with runs of anything else reduced to one 0."""
+    """Letters with runs of anything else reduced to one 0."""
     s = lookup[points]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
@@ -105,19 +135,19 @@ def build(samples: dict[str, list[str]]) -> Model:
     room = min(SAMPLE_CHARS, ALL_CHARS // max(len(languages), 1))
     texts = {k: "\n".join(samples[k])[:room] for k in languages}
     seen = Counter(x for t in texts.values() for x in map(letter_of, map(ord, t)) if x)
-    base = {p: i + 1 for i, (p, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS])}
-    letters = dict(base)
-    for p in base:
-        for other in (chr(p).upper(),):
-            if len(other) == 1:
-                letters.setdefault(ord(other), base[p])
-    model = Model(languages, letters, np.zeros((0, SYMBOLS + 1), np.int32), np.zeros(0, np.int64))
-    lookup, tables, roots, at = model.lookup(), [], [], 0
+    letters = {p: i + 1 for i, (p, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
+    none = np.zeros(0, np.int64)
+    model = Model(languages, letters, np.zeros((0, SYMBOLS + 1), np.int32), none, none, none)
+    lookup, tables, roots, rare, at = model.lookup(), [], [], [], 0
     for k in languages:
-        table = SuffixAutomaton(symbols_of(code_points(texts[k]), lookup), SYMBOLS + 1).table
+        automaton = SuffixAutomaton(symbols_of(code_points(texts[k]), lookup), SYMBOLS + 1)
+        table = automaton.table
         tables.append(np.where(table >= 0, table + at, -1).astype(np.int32))
+        rare += [((state + at) << SHIFT | c, to + at) for state, c, to in automaton.rare]
         roots.append(at)
         at += len(table)
+    if rare:
+        model.rare_keys, model.rare_states = np.array(sorted(rare), np.int64).T.copy()
     if tables:
         model.table, model.roots = np.concatenate(tables), np.array(roots, np.int64)
     return model
@@ -140,10 +170,17 @@ def phrases(segments: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarr
     for t in range(order):
         live = int(np.searchsorted(-lengths, -t, "left"))  # lanes are sorted by falling length
         s = columns[t, :live]
-        to = flat[state[:live] * width + s[:, None]].astype(np.int64)
+        far = np.flatnonzero(s >= width)
+        near = np.where(s < width, s, 0)
+        to = flat[state[:live] * width + near[:, None]].astype(np.int64)
+        begin = start[:, near].T
+        if len(far):
+            to[far] = model.rare(state[far], s[far, None])
+            first = model.rare(model.roots[None, :], s[far, None])
+            begin[far] = np.where(first >= 0, first, model.roots[None, :])
         miss = to < 0
         out[:live] += miss | (state[:live] == model.roots[None, :])
-        state[:live] = np.where(miss, start[:, s].T, to)
+        state[:live] = np.where(miss, begin, to)
     return out
 
 
@@ -156,7 +193,7 @@ def parse_texts(texts: list[str], model: Model, lookup: np.ndarray) -> tuple[np.
 
     def flush() -> None:
         pieces.sort(key=lambda x: -len(x[1]))
-        grid = np.zeros((len(pieces), SEGMENT), np.uint8)
+        grid = np.zeros((len(pieces), SEGMENT), lookup.dtype)
         for i, (_, piece) in enumerate(pieces):
             grid[i, : len(piece)] = piece
         got = phrases(grid, np.array([len(p) for _, p in pieces]), model)

@@ -253,6 +253,15 @@ def test_language_of_odd_texts(spark):
     assert language.identify(odd, language.fit(empty(spark))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_letters_of_rare_scripts_are_told_apart():
+    common = "".join(chr(c) for c in range(0x61, 0x7B)) + "".join(chr(c) for c in range(0x430, 0x450)) + "".join(chr(c) for c in range(0xE0, 0xF7))
+    samples = {"a": [common * 20], "el": ["αυτη ειναι μια γλωσσα " * 3], "ka": ["ეს არის ქართული ენა და კიდევ სიტყვები " * 3], "zh": ["這是中文的句子和更多的字 " * 3]}
+    model = language.build(samples)
+    need, symbols = language.parse_texts(["ειναι γλωσσα", "ქართული სიტყვები", "中文的字", "ก ข"], model, model.lookup())
+    assert [model.languages[i] for i in need[:3].argmin(axis=1)] == ["el", "ka", "zh"]
+    assert symbols.tolist() == [12, 16, 4, 3] and need[0].max() > need[0].min()
+
+
 # --- mixing
 
 
@@ -544,6 +553,20 @@ def test_pipeline_stages_chain(spark):
     assert 0 < out.count() <= docs_.count() and corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+def test_rows_without_an_id_of_their_own_pass_the_near_dup_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(24)
+    a, b, c, d = (prose(rng, 60, 5000) for _ in range(4))
+    rows = [(None, a), (None, b), (1, a), (2, b), (2, c), (3, c), (4, d), (4, d + " end"), (5, ""), (5, None)]
+    got = corpus_pipeline.near_dup_stage(spark, docs(spark, rows), "")
+    assert got.columns == docs(spark, rows).columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    four = [r for r in kept if r[0] == 4]
+    assert len(four) == 1 and sorted(map(str, set(kept) - set(four))) == sorted(map(str, [(None, a), (None, b), (1, a), (2, b), (2, c), (5, ""), (5, None)]))
+    assert len(kept) == 8
+
+
 def test_url_scores_equal_a_plain_model_beyond_65536_grams(spark):
     rng = random.Random(25)
     letters = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -574,17 +597,3 @@ def test_url_scores_equal_a_plain_model_beyond_65536_grams(spark):
     for u in asked:
         t = u + "\n"
         assert got[u] == pytest.approx(np.mean([ratio(t[max(0, at - 5) : at]) for at in range(1, len(t) + 1)]), abs=1e-6)
-
-
-def test_rows_without_an_id_of_their_own_pass_the_near_dup_stage(spark):
-    import corpus_pipeline
-
-    rng = random.Random(24)
-    a, b, c, d = (prose(rng, 60, 5000) for _ in range(4))
-    rows = [(None, a), (None, b), (1, a), (2, b), (2, c), (3, c), (4, d), (4, d + " end"), (5, ""), (5, None)]
-    got = corpus_pipeline.near_dup_stage(spark, docs(spark, rows), "")
-    assert got.columns == docs(spark, rows).columns
-    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
-    four = [r for r in kept if r[0] == 4]
-    assert len(four) == 1 and sorted(map(str, set(kept) - set(four))) == sorted(map(str, [(None, a), (None, b), (1, a), (2, b), (2, c), (5, ""), (5, None)]))
-    assert len(kept) == 8
