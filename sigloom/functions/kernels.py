@@ -197,21 +197,46 @@ def _sections(poles: np.ndarray, zeros: np.ndarray, gain: float) -> np.ndarray:
 def sos_filter(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
     """Cascade of second-order sections along the last axis (direct form II transposed).
 
-    The recursion runs over samples and, at each, over all rows at once.
+    ``state`` is section x 2 x rows.  All rows run at once, and blocks of samples side by side.
     """
-    y = np.array(x, np.float64, copy=True)
-    rows = y.reshape(-1, y.shape[-1])
-    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        s1, s2 = (np.zeros(len(rows)), np.zeros(len(rows))) if state is None else (state[k, 0].copy(), state[k, 1].copy())
-        for i in range(rows.shape[1]):
-            v = rows[:, i]
-            o = b0 * v + s1
-            s1 = b1 * v - a1 * o + s2
-            s2 = b2 * v - a2 * o
-            rows[:, i] = o
+    rows = np.array(x, np.float64, copy=True).reshape(-1, x.shape[-1])
+    for k, section in enumerate(sos):
+        start = np.zeros((2, len(rows))) if state is None else state[k]
+        rows = _section(section, rows, start)
     return rows.reshape(x.shape)
 
 
+def _section(section: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One section: blocks from rest in step, then each block's answer to the state before it."""
+    b0, b1, b2, _, a1, a2 = section
+    count, n = x.shape
+    size = max(1, int(np.sqrt(n)))
+    blocks = -(-n // size)
+    v = np.zeros((count, blocks * size))
+    v[:, :n] = x
+    v = v.reshape(count * blocks, size)
+    out = np.empty_like(v)
+    s1, s2 = np.zeros(len(v)), np.zeros(len(v))
+    # the last two columns are the answers to either unit state
+    rest = np.empty((size, 2))
+    u1, u2 = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    for i in range(size):
+        o = b0 * v[:, i] + s1
+        s1, s2 = b1 * v[:, i] - a1 * o + s2, b2 * v[:, i] - a2 * o
+        out[:, i] = o
+        rest[i] = u1
+        u1, u2 = -a1 * u1 + u2, -a2 * u1
+    end = np.stack([s1, s2], axis=-1).reshape(count, blocks, 2)
+    step = np.stack([u1, u2])  # a block's last state from the first one
+    begin = np.empty((count, blocks, 2))
+    now = state.T
+    for k in range(blocks):
+        begin[:, k] = now
+        now = end[:, k] + now @ step.T
+    out = out.reshape(count, blocks, size) + begin @ rest.T
+    return out.reshape(count, blocks * size)[:, :n]
+
+
 def steady_state(sos: np.ndarray) -> np.ndarray:
     """Section states (section x 2) for which a constant 1 gives a constant output."""
     out, scale = np.zeros((len(sos), 2)), 1.0
@@ -229,15 +254,16 @@ def pad_length(sos: np.ndarray) -> int:
 
 
 def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward filtering with an odd extension of both ends."""
+    """Forward and backward filtering of the rows of x with an odd extension of both ends."""
     pad = pad_length(sos)
-    if x.size <= pad:
+    if x.shape[-1] <= pad:
         raise SignalError("The record is too short for zero-phase filtering.")
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])[None, :]
+    rows = x.reshape(-1, x.shape[-1])
+    ext = np.concatenate([2 * rows[:, :1] - rows[:, pad:0:-1], rows, 2 * rows[:, -1:] - rows[:, -2 : -pad - 2 : -1]], axis=1)
     start = steady_state(sos)[:, :, None]
     y = sos_filter(sos, ext, start * ext[:, 0])
     y = sos_filter(sos, y[:, ::-1], start * y[:, -1])[:, ::-1]
-    return y[0, pad:-pad]
+    return y[:, pad:-pad].reshape(x.shape)
 
 
 def band_sum(freq: np.ndarray, magnitude: np.ndarray, n: int, low: float, high: float, nyquist: float) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Anomaly detectors on feature tables: ``table -> scored table``.
 
 A table has a unique ``row_index``, feature columns and metadata.  Robust
-statistics are exact; models that need all rows at once are fitted on a bounded
-sample and applied to every row.
+statistics are exact over all rows.  A forest's trees see few rows each by
+definition; only the one-class machine is fitted on a sample, and says so.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ NOT_FEATURES = (
 ).split()
 METADATA = ("record_name", "label", "window_start_seconds", "window_end_seconds", "window_center_seconds")
 NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint")
-FIT_ROWS = 20_000  # rows that a model fitted on the driver sees at most
+FIT_ROWS = 20_000  # rows among which a start is searched for on the driver at most
+STARTS = 60
+TREES, TREE_ROWS = 100, 256  # an isolation forest's trees and the rows that each is grown from, by its definition
 
 
 def numeric_features(table: DataFrame, columns: list[str] | None = None) -> list[str]:
@@ -57,17 +59,19 @@ def feature_matrix(table: DataFrame, columns: list[str] | None = None) -> tuple[
 
 
 def rank_scores(scored: DataFrame) -> DataFrame:
-    """Adds anomaly_rank: 1 for the highest score, ties by row_index.
+    """Adds anomaly_rank: 1 for the highest score, ties by row_index."""
+    return numbered(scored, F.desc("anomaly_score"), F.asc("row_index")).withColumnRenamed("number", "anomaly_rank")
 
-    Scores are ranked by range partitions with offsets, so no task sees all rows.
-    """
-    ordered = scored.repartitionByRange(F.desc("anomaly_score"), F.asc("row_index")).withColumn("_part", F.spark_partition_id())
+
+def numbered(table: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``number``, 1 for the first row in ``order``, by range partitions with offsets, so that no task sees all rows."""
+    ordered = table.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
-    inner = F.row_number().over(W.partitionBy("_part").orderBy(F.desc("anomaly_score"), "row_index"))
+    inner = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     return ordered.withColumn("_in", inner).join(F.broadcast(offsets), "_part").withColumn(
-        "anomaly_rank", (F.col("_in") + F.col("_before")).cast("long")
+        "number", (F.col("_in") + F.col("_before")).cast("long")
     ).drop("_part", "_in", "_before")
 
 
@@ -127,15 +131,21 @@ def mahalanobis(table: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def robust_mahalanobis(table: DataFrame, columns: list[str] | None = None, support_fraction: float | None = None, random_state: int = 0) -> DataFrame:
-    """Squared distance under a minimum-covariance-determinant fit (FAST-MCD with reweighting)."""
+    """Squared distance under a minimum-covariance-determinant fit (FAST-MCD with reweighting).
+
+    The search for a start runs on a bounded sample; the concentration steps, the
+    consistency factors and the reweighting are over all rows.
+    """
     matrix, names = feature_matrix(table, columns)
-    x = _sample(matrix, names)
-    n, p = x.shape
-    if n < 2 or np.linalg.matrix_rank(x - x.mean(axis=0)) < p:
+    p = len(names)
+    n, _, cov = _moments(matrix, names)
+    if n < 2 or np.linalg.matrix_rank(cov) < p:
         raise ValueError("The feature matrix does not have full rank.")
     if support_fraction is not None and not 0 < support_fraction <= 1:
         raise ValueError("support_fraction must lie above 0 and at most at 1.")
-    mean, cov = _mcd(x, support_fraction, random_state)
+    h = min(n, int(np.ceil(support_fraction * n)) if support_fraction is not None else (n + p + 1) // 2)
+    h = max(h, min(n, p + 1))
+    mean, cov = _concentrated(matrix, names, *_mcd_start(_sample(matrix, names), h / n, random_state), h, n)
     if np.linalg.matrix_rank(cov) < p:
         raise ValueError("The robust covariance is singular.")
     return _scored(matrix, names, F.greatest(F.lit(0.0), _quadratic(names, mean, np.linalg.pinv(cov))))
@@ -148,45 +158,64 @@ def _sample(matrix: DataFrame, names: list[str], most: int = FIT_ROWS) -> np.nda
     return np.array([[r[c] for c in names] for r in rows], np.float64).reshape(len(rows), len(names))
 
 
-def _mcd(x: np.ndarray, fraction: float | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _mcd_start(x: np.ndarray, share: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the tightest ``share`` of the rows found from many small starts."""
     n, p = x.shape
-    h = min(n, int(np.ceil(fraction * n)) if fraction is not None else (n + p + 1) // 2)
-    h = max(h, min(n, p + 1))
+    h = max(int(np.ceil(share * n - 1e-9)), min(n, p + 1))
     rng = np.random.default_rng(seed)
 
-    def step(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def step(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
         keep = np.argsort(d, kind="stable")[:h]
-        return x[keep].mean(axis=0), np.cov(x[keep].T, bias=True).reshape(p, p), keep
+        return x[keep].mean(axis=0), np.cov(x[keep].T, bias=True).reshape(p, p)
 
     tried = []
-    for _ in range(60):
+    for _ in range(STARTS):
         start = x[rng.choice(n, min(n, p + 1), replace=False)]
         mean, cov = start.mean(axis=0), np.cov(start.T, bias=True).reshape(p, p)
         for _ in range(2):
-            mean, cov, _ = step(mean, cov)
+            mean, cov = step(mean, cov)
         tried.append((np.linalg.det(cov), len(tried), mean, cov))
     best = None
     for _, _, mean, cov in sorted(tried, key=lambda t: t[:2])[:8]:
         last = np.inf
         for _ in range(50):
-            mean, cov, keep = step(mean, cov)
+            mean, cov = step(mean, cov)
             det = np.linalg.det(cov)
             if det >= last:
                 break
             last = det
         if best is None or last < best[0]:
             best = (last, mean, cov)
-    _, mean, cov = best
-    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
-    cov = cov * max(np.median(d) / chi2_quantile(0.5, p), 1e-300)
-    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
-    good = d < chi2_quantile(0.975, p)
-    if good.sum() > p:
-        mean = x[good].mean(axis=0)
-        cov = np.cov(x[good].T, bias=True).reshape(p, p)
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
-        cov = cov * max(np.median(d[good]) / chi2_quantile(0.5, p), 1e-300)
+    return best[1], best[2]
+
+
+def _concentrated(matrix: DataFrame, names: list[str], mean: np.ndarray, cov: np.ndarray, h: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Steps to the h nearest of all rows until the determinant stands still, then the reweighted fit."""
+    p, last = len(names), np.inf
+
+    def distance(mean: np.ndarray, cov: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), _quadratic(names, mean, np.linalg.pinv(cov)))
+
+    def fit(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+        m, mean, cov = _moments(rows, names)
+        return m, mean, cov * (m - 1) / m
+
+    while True:
+        d = distance(mean, cov)
+        cut = matrix.agg(F.percentile(d, F.lit((h - 1) / max(n - 1, 1)))).first()[0]
+        m, next_mean, next_cov = fit(matrix.where(d <= F.lit(float(cut) * (1 + 1e-12))))
+        det = np.linalg.det(next_cov)
+        if m < 2 or det >= last * (1 - 1e-12):
+            break
+        mean, cov, last = next_mean, next_cov, det
+    d = distance(mean, cov)
+    cov = cov * max(matrix.agg(F.median(d)).first()[0] / chi2_quantile(0.5, p), 1e-300)
+    good = matrix.where(distance(mean, cov) < F.lit(chi2_quantile(0.975, p)))
+    m, next_mean, next_cov = fit(good)
+    if m > p:
+        mean, cov = next_mean, next_cov
+        cov = cov * max(good.agg(F.median(distance(mean, cov))).first()[0] / chi2_quantile(0.5, p), 1e-300)
     return mean, cov
 
 
@@ -265,13 +294,18 @@ def _score_rows(matrix: DataFrame, names: list[str], score, extra: str = "") ->
 
 
 class Forest:
-    """Isolation trees over bounded subsamples (Liu, Ting and Zhou)."""
+    """Isolation trees, each grown from ``size`` rows (Liu, Ting and Zhou).
+
+    ``x`` are all rows, or a random ``trees * size`` of them: then each tree has rows of its own.
+    """
 
-    def __init__(self, x: np.ndarray, trees: int = 100, size: int = 256, seed: int = 0):
+    def __init__(self, x: np.ndarray, trees: int = TREES, size: int = TREE_ROWS, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.size = min(size, len(x))
         self.limit = int(np.ceil(np.log2(max(self.size, 2))))
-        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], rng) for _ in range(trees)]
+        order = rng.permutation(len(x))
+        enough = len(x) >= trees * size
+        self.trees = [self._grow(x[order[t * size : (t + 1) * size] if enough else rng.choice(len(x), self.size, replace=False)], rng) for t in range(trees)]
 
     def _grow(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         feature, cut, left, right, depth = [], [], [], [], []
@@ -316,7 +350,7 @@ def average_path(n: int) -> float:
 def isolation_forest(table: DataFrame, contamination: float | str = "auto", random_state: int = 0, columns: list[str] | None = None) -> DataFrame:
     """Scores above 0 are anomalous; adds predicted_anomaly (-1 anomalous, 1 not)."""
     matrix, names = feature_matrix(table, columns)
-    x = _sample(matrix, names)
+    x = _sample(matrix, names, TREES * TREE_ROWS)
     if len(x) < 2:
         raise ValueError("At least two rows are needed.")
     scored = _score_rows(matrix, names, Forest(x, seed=random_state))
@@ -369,6 +403,12 @@ class OneClass:
 
 
 def one_class_svm(table: DataFrame, nu: float = 0.05, columns: list[str] | None = None, fit_rows: int = 2000) -> DataFrame:
+    """Scores above 0 lie outside the support; adds fit_rows and predicted_anomaly (-1 outside, 1 inside).
+
+    The kernel matrix is quadratic in the rows that the machine is fitted on: these are
+    a sampling parameter, at most ``fit_rows`` by a hash of row_index.  All rows are
+    standardised by the moments of all rows, and all are scored.
+    """
     if not 0 < nu <= 1:
         raise ValueError("nu must lie above 0 and at most at 1.")
     matrix, names = feature_matrix(table, columns)
@@ -379,5 +419,5 @@ def one_class_svm(table: DataFrame, nu: float = 0.05, columns: list[str] | None
     x = _sample(matrix, names, fit_rows)
     variance = ((x - mean) / sd).var()
     model = OneClass(x, mean, sd, nu, 1.0 / (len(names) * variance) if variance > 0 else 1.0)
-    scored = _score_rows(matrix, names, model)
+    scored = _score_rows(matrix, names, model).withColumn("fit_rows", F.lit(len(x)).cast("long"))
     return scored.withColumn("predicted_anomaly", F.when(F.col("anomaly_score") > 0, F.lit(-1)).otherwise(F.lit(1)))

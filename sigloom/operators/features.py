@@ -33,11 +33,11 @@ class FeatureConfig:
 
     def __post_init__(self) -> None:
         if self.spectrogram_window_seconds <= 0:
-            raise ValueError("spectrogram_window_seconds must be positive.")
+            raise ValueError("A spectrogram window must last some time.")
         if self.spectrogram_step_seconds is not None and self.spectrogram_step_seconds <= 0:
-            raise ValueError("spectrogram_step_seconds must be positive.")
+            raise ValueError("A spectrogram step must last some time.")
         if self.high_frequency_cutoff_hz is not None and self.high_frequency_cutoff_hz < 0:
-            raise ValueError("high_frequency_cutoff_hz must be non-negative.")
+            raise ValueError("The high-frequency cutoff cannot lie below 0.")
         check_bands(self.bands)
 
 
@@ -53,9 +53,9 @@ class SlidingConfig:
 
     def __post_init__(self) -> None:
         if self.window_seconds <= 0 or self.step_seconds <= 0:
-            raise ValueError("window_seconds and step_seconds must be positive.")
+            raise ValueError("Windows and steps must last some time.")
         if self.step_seconds > self.window_seconds:
-            raise ValueError("step_seconds must not exceed window_seconds.")
+            raise ValueError("A step cannot be longer than its window.")
         if not (self.include_time_domain or self.include_frequency_domain):
             raise ValueError("At least one feature group must be included.")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY_COLUMNS = ("record_name", "name", "file_name", "filename", "stem", "source_path")
@@ -52,7 +51,6 @@ def interval_overlap(pieces: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def consensus(scores: dict[str, DataFrame], top: int = 20) -> DataFrame:
     """Per row_index: each detector's min-max normalised score, their mean, and the top-``top`` votes."""
-    whole = W.partitionBy("method")
     stacked = reduce(
         DataFrame.unionByName,
         [s.select("row_index", F.lit(m).alias("method"), F.col("anomaly_score").cast("double").alias("score")) for m, s in sorted(scores.items())],
@@ -61,7 +59,9 @@ def consensus(scores: dict[str, DataFrame], top: int = 20) -> DataFrame:
     scaled = stacked.join(F.broadcast(ends), "method").withColumn(
         "scaled", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
     )
-    voted = scaled.withColumn("vote", (F.row_number().over(whole.orderBy(F.desc("score"), "row_index")) <= top).cast("long"))
+    # the top of each method without ranking all of its rows
+    best = [s.orderBy(F.desc("anomaly_score"), "row_index").limit(top).select("row_index", F.lit(m).alias("method"), F.lit(1).cast("long").alias("vote")) for m, s in sorted(scores.items())]
+    voted = scaled.join(reduce(DataFrame.unionByName, best), ["row_index", "method"], "left").withColumn("vote", F.coalesce("vote", F.lit(0).cast("long")))
     wide = [F.max(F.when(F.col("method") == m, F.col("scaled"))).alias(f"{m}_score") for m in sorted(scores)]
     return voted.groupBy("row_index").agg(*wide, F.avg("scaled").alias("consensus_score"), F.sum("vote").alias("votes"))
 

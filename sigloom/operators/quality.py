@@ -40,7 +40,7 @@ class QualityConfig:
         for name in self.__dataclass_fields__:
             value = getattr(self, name)
             if value is not None and value < 0:
-                raise ValueError(f"{name} must be non-negative.")
+                raise ValueError(f"{name}: a threshold cannot be below 0.")
 
 
 def quality_table(samples: DataFrame, records: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -61,17 +61,18 @@ def quality_table(samples: DataFrame, records: DataFrame, config: QualityConfig
         X.rms(v).alias("rms"),
     )
     window = None
-    rates = [r[0] for r in records.select("sampling_rate_hz").distinct().limit(2).collect()] if config.stationarity_window_seconds else []
-    if len(rates) == 1:
-        window = max(1, round(config.stationarity_window_seconds * rates[0]))
-    elif rates:
-        raise ValueError("stationarity_window_seconds needs one sampling rate.")
+    if config.stationarity_window_seconds:
+        # each record's own rate says how many samples a window has
+        window = X.seconds_to_samples(config.stationarity_window_seconds, F.col("sampling_rate_hz"))
+        steady = S.stationarity(samples.join(records.select("record_id", "sampling_rate_hz"), "record_id"), window)
+    else:
+        steady = S.stationarity(samples)
     have = set(records.columns)
     fact = lambda name, kind: F.coalesce(F.col(name).try_cast(kind), F.lit(0).cast(kind)) if name in have else F.lit(0).cast(kind)
     out = (
         records.join(base, "record_id")
         .join(S.clipping(samples, config.clipping_tolerance), "record_id", "left")
-        .join(S.stationarity(samples, window), "record_id", "left")
+        .join(steady, "record_id", "left")
         .withColumn("clipping_fraction", F.coalesce("clipping_fraction", F.lit(0.0)))
         .withColumn("duration_seconds", F.col("n_samples") / F.col("sampling_rate_hz"))
         .withColumn("missing_fraction", F.lit(1.0) - F.col("_finite") / F.col("n_samples"))

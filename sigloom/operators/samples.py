@@ -205,12 +205,12 @@ def clipping(samples: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return marked.groupBy("record_id").agg(F.when(constant, F.lit(0.0)).otherwise(share).alias("clipping_fraction"))
 
 
-def stationarity(samples: DataFrame, window: int | None = None) -> DataFrame:
+def stationarity(samples: DataFrame, window: int | Column | None = None) -> DataFrame:
     """(record_id, stationarity_mean_drift, stationarity_std_cv) over tumbling windows (default a quarter)."""
     whole = W.partitionBy("record_id")
     v = X.finite_or_null(F.col("value"))
     sized = samples.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_sd", F.stddev_pop(v).over(whole))
-    size = F.greatest(F.lit(1), F.floor(F.col("_n") / 4)) if window is None else F.lit(window)
+    size = F.greatest(F.lit(1), F.floor(F.col("_n") / 4)) if window is None else (window if isinstance(window, Column) else F.lit(window))
     sized = sized.withColumn("_size", size.cast("long")).withColumn("_w", F.floor(F.col("sample_index") / F.col("_size")))
     full = sized.where((F.col("_w") + 1) * F.col("_size") <= F.col("_n"))
     each = full.groupBy("record_id", "_w").agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.first("_sd").alias("_sd")).where("m is not null")

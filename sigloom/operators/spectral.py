@@ -17,6 +17,9 @@ from sigloom.functions import kernels as K
 from sigloom.session import ship
 
 
+MOST_BANDS = 1_000
+
+
 def run_kernel(signals: DataFrame, kernel: Callable, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """``kernel(values as rows x samples, rate) -> dict of one array or list a column`` per block of like records.
 
@@ -132,7 +135,7 @@ def descriptors(bins: DataFrame, rolloff: float = 0.85, epsilon: float = 1e-12)
 
 
 def band_energy(bins: DataFrame, bands: DataFrame, samples: int, rate: float) -> DataFrame:
-    """Energy of each (record, band): a range join of amplitude bins with ``bands(band, low_hz, high_hz)``.
+    """Energy of each (record, band): amplitude bins within ``bands(band, low_hz, high_hz)``, names of their own.
 
     Half-open bands; one that ends at the Nyquist frequency is closed there, one
     that begins at or above it has a null energy.
@@ -145,11 +148,16 @@ def band_energy(bins: DataFrame, bands: DataFrame, samples: int, rate: float) ->
     inside = (F.col("frequency_hz") >= F.col("low_hz")) & (
         (F.col("frequency_hz") < high) | ((high == nyquist) & (F.col("frequency_hz") == nyquist))
     )
-    hit = bins.join(F.broadcast(bands), inside)
-    sums = hit.groupBy("record_id", "band").agg(F.sum(power).alias("band_energy"))
-    every = bins.where("bin = 0").select("record_id").join(F.broadcast(bands.select("band", "low_hz")), F.lit(True))
-    return every.join(sums, ["record_id", "band"], "left").select(
-        "record_id", "band", F.when(F.col("low_hz") < nyquist, F.coalesce("band_energy", F.lit(0.0))).alias("band_energy")
+    few = bands.select("band", "low_hz", "high_hz").limit(MOST_BANDS + 1).collect()
+    if len(few) > MOST_BANDS:
+        raise ValueError(f"More than {MOST_BANDS} bands.")
+    if not few:
+        return bins.limit(0).select("record_id", F.lit("").alias("band"), F.lit(0.0).alias("band_energy"))
+    # bands are a literal of the plan: each bin meets them in its own row
+    table = F.array(*[F.struct(F.lit(r["band"]).alias("band"), F.lit(float(r["low_hz"])).alias("low_hz"), F.lit(float(r["high_hz"])).alias("high_hz")) for r in few])
+    met = bins.withColumn("_b", F.explode(table)).select("record_id", "bin", "frequency_hz", "weight", "_b.*")
+    return met.groupBy("record_id", "band").agg(
+        F.when(F.first("low_hz") < nyquist, F.coalesce(F.sum(F.when(inside, power)), F.lit(0.0))).alias("band_energy")
     )
 
 
@@ -258,7 +266,7 @@ def filter_signals(
             if not zero_phase:
                 y = K.sos_filter(sos, x)
             elif x.shape[1] > K.pad_length(sos):
-                y = np.stack([K.zero_phase(sos, row) for row in x])
+                y = K.zero_phase(sos, x)
             elif allow_causal_fallback:
                 y, status = K.sos_filter(sos, x), "causal_fallback"
             else:

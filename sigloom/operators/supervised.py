@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import random
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -39,20 +37,16 @@ def split_groups(table: DataFrame, label: str, group: str | None, test_size: flo
         order = F.row_number().over(D.W.partitionBy(label).orderBy(F.xxhash64("row_index", F.lit(seed)), "row_index"))
         size = F.count(F.lit(1)).over(D.W.partitionBy(label))
         return table.withColumn("_test", order <= F.greatest(F.lit(1), F.rint(size * test_size))), "stratified rows"
-    pairs = table.groupBy(column, label).count().collect()
-    labels = {r[label] for r in pairs}
-    per_label = {x: {r[column] for r in pairs if r[label] == x} for x in labels}
-    if any(len(v) < 2 for v in per_label.values()):
-        raise ValueError("Each label needs at least two groups.")
-    groups = sorted({r[column] for r in pairs}, key=str)
-    count = max(1, math.ceil(len(groups) * test_size))
-    rng = random.Random(seed)
-    for _ in range(SHUFFLES):
-        test = set(rng.sample(groups, count))
-        if all(v & test and v - test for v in per_label.values()):
-            spark = table.sparkSession
-            chosen = spark.createDataFrame([(g,) for g in sorted(test, key=str)], f"`{column}` {dict(table.dtypes)[column]}").withColumn("_test", F.lit(True))
-            return table.join(chosen, column, "left").withColumn("_test", F.coalesce("_test", F.lit(False))), f"groups of {column}"
+    # whole groups are dealt by a hash; only counts a label come to the driver
+    groups = table.groupBy(column).agg(F.collect_set(label).alias("_labels"))
+    sizes = groups.select(F.explode("_labels").alias("l")).groupBy("l").count().collect()
+    if any(r["count"] < 2 for r in sizes):
+        raise ValueError("Every label must occur in two groups or more.")
+    for attempt in range(SHUFFLES):
+        share = F.pmod(F.xxhash64(F.lit(seed), F.lit(attempt), F.col(column).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+        sides = groups.select((share < test_size).alias("t"), F.explode("_labels").alias("l")).groupBy("l").agg(F.count_distinct("t").alias("sides"))
+        if sides.where("sides < 2").isEmpty():
+            return table.withColumn("_test", share < test_size), f"groups of {column}"
     raise ValueError("No split keeps every label on both sides.")
 
 

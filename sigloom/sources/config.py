@@ -25,9 +25,9 @@ class Loading:
 
     def __post_init__(self) -> None:
         if self.sampling_rate_hz is not None and self.sampling_rate_hz <= 0:
-            raise ValueError("loading.sampling_rate_hz must be positive.")
+            raise ValueError("The loading section's sampling rate must lie above 0.")
         if not self.file_patterns:
-            raise ValueError("loading.file_patterns must not be empty.")
+            raise ValueError("The loading section needs a file pattern.")
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,9 @@ class Window:
 
     def __post_init__(self) -> None:
         if self.size_seconds <= 0:
-            raise ValueError("analysis.window.size_seconds must be positive.")
+            raise ValueError("An analysis window must last some time.")
         if not 0 <= self.overlap_fraction < 1:
-            raise ValueError("analysis.window.overlap_fraction must be at least 0 and below 1.")
+            raise ValueError("Analysis windows overlap by a share from 0 to below 1.")
 
 
 DEFAULT_BANDS = {"low": (0.0, 100.0), "mid": (100.0, 1000.0), "high": (1000.0, 5000.0)}
@@ -66,11 +66,11 @@ class Filtering:
 
     def __post_init__(self) -> None:
         if self.kind is not None and self.kind.lower() not in FILTER_KINDS:
-            raise ValueError(f"filtering.kind must be one of {FILTER_KINDS}.")
+            raise ValueError(f"Unknown filter; known are {FILTER_KINDS}.")
         if self.enabled and self.kind is None:
-            raise ValueError("filtering.kind is needed when filtering is enabled.")
+            raise ValueError("An enabled filter needs its kind.")
         if self.order <= 0:
-            raise ValueError("filtering.order must be positive.")
+            raise ValueError("A filter's order must be 1 or more.")
 
 
 @dataclass(frozen=True)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.kernels import SignalError
+from sigloom.operators.detectors import numbered
 from sigloom.operators.joins import metadata_lookup
 from sigloom.session import ship
 
@@ -35,9 +36,9 @@ def load_signals(
     spark: SparkSession, path: str, patterns: tuple[str, ...] = ("*.csv", "*.txt", "*.npy", "*.wav"), sampling_rate_hz: float | None = None,
     signal_column: str | None = None, label_column: str | None = None, label: str | None = None, split_channels: bool = False, channel: int | None = None,
 ) -> DataFrame:
-    """Records of all files of a folder (or of one file), ordered by path in record_id.
+    """Records of all files of a folder (or of one file), numbered by path and name in record_id.
 
-    A file that cannot be decoded gives a row without values whose ``status`` says why.
+    Numbers come from the names alone, so no samples meet in one task.  A file that cannot be decoded gives a row without values whose ``status`` says why.
     """
     ship(spark)
     glob = "{" + ",".join(patterns) + "}"
@@ -54,8 +55,8 @@ def load_signals(
             yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, _arrow(n)) for n in _NAMES]))
 
     records = files.mapInArrow(run, SCHEMA)
-    order = F.row_number().over(_by_path()) - 1
-    return records.withColumn("record_id", order.cast("long"))
+    names = numbered(records.select("source_path", "record_name"), F.asc("source_path"), F.asc("record_name"))
+    return records.join(names, ["source_path", "record_name"]).select(*_NAMES, (F.col("number") - 1).alias("record_id"))
 
 
 def load_dataset(
@@ -77,12 +78,6 @@ def load_dataset(
     return rows if metadata is None else metadata_lookup(rows, metadata)
 
 
-def _by_path():
-    from pyspark.sql import Window as W
-
-    return W.orderBy("source_path", "record_name")
-
-
 def _arrow(name: str) -> pa.DataType:
     kind = dict((p.strip().split(" ")[0], p.strip().split(" ")[1]) for p in SCHEMA.split(","))[name]
     return {"string": pa.string(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "boolean": pa.bool_(), "long": pa.int64()}[kind]

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.exprs import sinc, taper
+from sigloom.session import ship
 
 TWO_PI = 2.0 * math.pi
+BLOCK = 16_384  # samples of a block of a convolution
+DIRECT = 64  # a block that is shorter is multiplied sample by sample
 
 
 def _axis(spark: SparkSession, seconds: float, rate: float) -> DataFrame:
@@ -37,7 +42,7 @@ def sine_wave(spark, frequency_hz=50.0, duration_seconds=1.0, sampling_rate_hz=1
 def noisy_sine_wave(spark, frequency_hz=50.0, duration_seconds=1.0, sampling_rate_hz=1000.0, amplitude=1.0, noise_std=0.1, seed=0) -> DataFrame:
     """A sine with seeded normal noise (the generator's stream is sequential, so it is drawn on the driver)."""
     if noise_std < 0:
-        raise ValueError("noise_std must be non-negative.")
+        raise ValueError("The noise needs a spread of 0 or more.")
     axis = _axis(spark, duration_seconds, sampling_rate_hz)
     n = round(duration_seconds * sampling_rate_hz)
     noise = np.random.default_rng(seed).normal(0.0, noise_std, n)
@@ -47,7 +52,7 @@ def noisy_sine_wave(spark, frequency_hz=50.0, duration_seconds=1.0, sampling_rat
 
 def impulse_train(spark, impulse_rate_hz=20.0, duration_seconds=1.0, sampling_rate_hz=1000.0, amplitude=1.0) -> DataFrame:
     if impulse_rate_hz <= 0:
-        raise ValueError("impulse_rate_hz must be positive.")
+        raise ValueError("Impulses need a rate above 0.")
     gap = max(1, round(sampling_rate_hz / impulse_rate_hz))
     return _signal(_axis(spark, duration_seconds, sampling_rate_hz), F.when(F.col("sample_index") % gap == 0, float(amplitude)).otherwise(0.0))
 
@@ -60,7 +65,7 @@ def chirp_signal(spark, start_frequency_hz=20.0, end_frequency_hz=200.0, duratio
 
 def clipped_signal(spark, frequency_hz=50.0, duration_seconds=1.0, sampling_rate_hz=1000.0, amplitude=1.5, clip_limit=1.0) -> DataFrame:
     if clip_limit <= 0:
-        raise ValueError("clip_limit must be positive.")
+        raise ValueError("The clip level must lie above 0.")
     wave = _sine(frequency_hz, amplitude)
     return _signal(_axis(spark, duration_seconds, sampling_rate_hz), F.least(F.greatest(wave, F.lit(-float(clip_limit))), F.lit(float(clip_limit))))
 
@@ -85,7 +90,7 @@ def window_signal(spark, window_type="hann", window_seconds=0.5, start_seconds=0
 
 def sinc_signal(spark, bandwidth_hz=50.0, duration_seconds=1.0, sampling_rate_hz=1000.0, amplitude=1.0, center_seconds=None) -> DataFrame:
     if bandwidth_hz <= 0:
-        raise ValueError("bandwidth_hz must be positive.")
+        raise ValueError("The bandwidth must lie above 0.")
     n = round(duration_seconds * sampling_rate_hz)
     centre = (n - 1) / sampling_rate_hz / 2 if center_seconds is None else center_seconds
     return _signal(_axis(spark, duration_seconds, sampling_rate_hz), F.lit(float(amplitude)) * sinc(F.lit(2.0 * bandwidth_hz) * (F.col("t") - F.lit(float(centre)))))
@@ -121,21 +126,26 @@ def _combine(signals, fold) -> DataFrame:
 
 
 def convolve_signals(first: DataFrame, second: DataFrame, mode: str = "same") -> DataFrame:
-    """Discrete convolution as a join of index sums; ``second`` is meant to be the short one."""
+    """Discrete convolution of two signals of any lengths, by overlap-add of blocks of BLOCK samples.
+
+    A sample that a signal lacks counts as 0.  Each pair of blocks is one product, in a task that
+    holds these two blocks alone; the products' overlapping ends are added by sample.
+    """
     if mode not in ("full", "same", "valid"):
         raise ValueError("mode must be full, same or valid.")
-    n = first.agg(F.count(F.lit(1))).first()[0]
-    m = second.agg(F.count(F.lit(1))).first()[0]
-    kernel = second.select(F.col("sample_index").alias("j"), F.col("value").alias("w"))
-    taps = kernel.agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("taps")) if m <= 65536 else None
-    if taps is not None:
-        tap_rows = taps.first()["taps"]
-        spread = first.select(
-            "sample_index", "value", F.explode(F.array(*[F.struct(F.lit(t["j"]).alias("j"), F.lit(t["w"]).alias("w")) for t in tap_rows])).alias("k")
-        ) if m <= 512 else first.join(F.broadcast(kernel.select(F.struct("j", "w").alias("k"))), F.lit(True))
-    else:
-        raise ValueError("The second signal is longer than 65,536 samples.")
-    full = spread.groupBy((F.col("sample_index") + F.col("k.j")).alias("i")).agg(F.sum(F.col("value") * F.col("k.w")).alias("value"))
+    n, m = (s.agg(F.coalesce(F.max("sample_index") + 1, F.lit(0))).first()[0] for s in (first, second))
+    a, b = _blocks(first).withColumnsRenamed({"block": "i", "x": "x"}), _blocks(second).withColumnsRenamed({"block": "j", "x": "y"})
+    dealt = a.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(-(-m // BLOCK) - 1, 0)).cast("long"))))
+    pairs = dealt.join(b, "j").select(((F.col("i") + F.col("j")) * BLOCK).alias("at"), "x", "y")
+    ship(first.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_product(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for x, y in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["at", "z"])
+
+    each = pairs.mapInArrow(run, "at long, z array<double>").select("at", F.posexplode("z").alias("k", "v"))
+    full = each.groupBy((F.col("at") + F.col("k")).alias("i")).agg(F.sum("v").alias("value"))
     if mode == "full":
         start, size = 0, n + m - 1
     elif mode == "same":
@@ -145,6 +155,22 @@ def convolve_signals(first: DataFrame, second: DataFrame, mode: str = "same") ->
     return full.where((F.col("i") >= start) & (F.col("i") < start + size)).select((F.col("i") - start).alias("sample_index"), "value")
 
 
+def _blocks(signal: DataFrame) -> DataFrame:
+    """(block, x): BLOCK samples in order from the block's first, as far as the block's last one."""
+    at = F.col("sample_index")
+    rows = signal.groupBy(F.floor(at / BLOCK).cast("long").alias("block")).agg(
+        F.map_from_entries(F.collect_list(F.struct((at % BLOCK).cast("int"), "value"))).alias("v"), F.max(at % BLOCK).cast("int").alias("last")
+    )
+    return rows.select("block", F.transform(F.sequence(F.lit(0), "last"), lambda k: F.coalesce(F.try_element_at("v", k), F.lit(0.0))).alias("x"))
+
+
+def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if min(len(x), len(y)) <= DIRECT:
+        return np.convolve(x, y)
+    size = len(x) + len(y) - 1
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y, size), size)
+
+
 def synthetic_dataset(spark: SparkSession) -> DataFrame:
     """The six default records in array form, in fixed order."""
     made = [
