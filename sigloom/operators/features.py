@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sigloom.functions import kernels as K
 from sigloom.session import ship
@@ -104,7 +105,8 @@ def frequency_block(x: np.ndarray, rate: float, bands: tuple[Band, ...]) -> dict
     f, m = K.one_sided(x, rate)
     total = m.sum(axis=1)
     first = 1 if m.shape[1] > 1 else 0
-    top = m[:, first:].argmax(axis=1) + first
+    # of equal peaks the lowest, whichever way they are rounded
+    top = (m[:, first:] >= m[:, first:].max(axis=1, keepdims=True) * (1 - 1e-9)).argmax(axis=1) + first
     centroid = _ratio((m * f).sum(axis=1), total)
     cum = np.cumsum(m, axis=1)
     reached = np.minimum((cum < 0.85 * total[:, None]).sum(axis=1), m.shape[1] - 1)
@@ -241,3 +243,11 @@ def sliding_features(signals: DataFrame, config: SlidingConfig) -> DataFrame:
                 )
 
     return signals.select("record_id", "record_name", "label", "sampling_rate_hz", "values").mapInArrow(run, schema)
+
+
+def band_means(table: DataFrame) -> DataFrame:
+    """(band, mean_energy) over all rows of a feature table; a band that no row has is null."""
+    prefix = "band_energy_"
+    names = [c for c in table.columns if c.startswith(prefix)]
+    means = table.agg(*[F.avg(F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double"))).alias(c) for c in names])
+    return means.select(F.explode(F.array(*[F.struct(F.lit(c[len(prefix) :]).alias("band"), F.col(f"`{c}`").alias("mean_energy")) for c in names])).alias("x")).select("x.*")

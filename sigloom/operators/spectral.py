@@ -91,10 +91,10 @@ def dominant_frequency(bins: DataFrame, ignore_dc: bool = True) -> DataFrame:
     """(record_id, dominant_frequency_hz): the first of the largest bins; 0 where all are 0."""
     top = F.max("bin").over(_whole())
     use = bins.withColumn("_top", top).where((F.col("bin") > 0) | (F.col("_top") == 0)) if ignore_dc else bins
-    best = F.max(F.struct("weight", (-F.col("bin")).alias("b"), "frequency_hz"))
-    return use.groupBy("record_id").agg(best.alias("x")).select(
-        "record_id", F.when(F.col("x.weight") == 0, F.lit(0.0)).otherwise(F.col("x.frequency_hz")).alias("dominant_frequency_hz")
-    )
+    # of equal peaks the lowest, whichever way they are rounded
+    peaks = use.withColumn("_best", F.max("weight").over(_whole()))
+    near = F.when(F.col("weight") >= F.col("_best") * (1 - 1e-9), F.col("frequency_hz"))
+    return peaks.groupBy("record_id").agg(F.when(F.max("_best") == 0, F.lit(0.0)).otherwise(F.min(near)).alias("dominant_frequency_hz"))
 
 
 def _whole():

@@ -37,10 +37,9 @@ def split_groups(table: DataFrame, label: str, group: str | None, test_size: flo
         order = F.row_number().over(D.W.partitionBy(label).orderBy(F.xxhash64("row_index", F.lit(seed)), "row_index"))
         size = F.count(F.lit(1)).over(D.W.partitionBy(label))
         return table.withColumn("_test", order <= F.greatest(F.lit(1), F.rint(size * test_size))), "stratified rows"
-    # whole groups are dealt by a hash; only counts a label come to the driver
+    # whole groups are dealt by a hash; only labels with too few groups come to the driver
     groups = table.groupBy(column).agg(F.collect_set(label).alias("_labels"))
-    sizes = groups.select(F.explode("_labels").alias("l")).groupBy("l").count().collect()
-    if any(r["count"] < 2 for r in sizes):
+    if not groups_per_label(table, label, column).where("n_groups < 2").isEmpty():
         raise ValueError("Every label must occur in two groups or more.")
     for attempt in range(SHUFFLES):
         share = F.pmod(F.xxhash64(F.lit(seed), F.lit(attempt), F.col(column).cast("string")), F.lit(1 << 30)) / float(1 << 30)
@@ -50,6 +49,11 @@ def split_groups(table: DataFrame, label: str, group: str | None, test_size: flo
     raise ValueError("No split keeps every label on both sides.")
 
 
+def groups_per_label(table: DataFrame, label: str, group: str) -> DataFrame:
+    """(label, n_groups, n_rows); a label in one group only cannot stand on both sides of a split."""
+    return table.groupBy(label, group).agg(F.count(F.lit(1)).alias("n")).groupBy(label).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_rows"))
+
+
 def run_baselines(
     table: DataFrame, label: str = "label", group: str | None = None, test_size: float = 0.3, random_state: int = 0
 ) -> list[Evaluation]:

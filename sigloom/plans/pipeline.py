@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigloom.operators import detectors, joins, spectral, supervised
 from sigloom.operators import features as feats
 from sigloom.operators import quality as qual
+from sigloom.operators.records import with_step
 from sigloom.plans.report import Report, overview
 from sigloom.sources.config import Filtering
 from sigloom.sources.synthetic import synthetic_dataset
@@ -41,8 +42,9 @@ class PipelineResult:
 
 def configured_filter(signals: DataFrame, config: Filtering) -> DataFrame:
     if not config.enabled:
-        return signals.withColumn("status", F.lit("ok"))
-    return spectral.filter_signals(signals, config.kind, config.low_cut_hz, config.high_cut_hz, config.order)
+        return with_step(signals.withColumn("status", F.lit("ok")), "none")
+    made = spectral.filter_signals(signals, config.kind, config.low_cut_hz, config.high_cut_hz, config.order)
+    return with_step(made, "filter", kind=config.kind, low_cut_hz=config.low_cut_hz, high_cut_hz=config.high_cut_hz, order=config.order)
 
 
 def analyze(signals: DataFrame, config: PipelineConfig = PipelineConfig()) -> PipelineResult:
@@ -98,7 +100,7 @@ def anomaly_text(scored: DataFrame, n: int = 5) -> str:
         F.count(F.lit(1)).alias("n"), F.avg((F.col("anomaly_score") > 0).cast("double")).alias("share"), F.min("anomaly_score").alias("lo"), F.max("anomaly_score").alias("hi")
     ).first()
     top = ", ".join(str(r["row_index"]) for r in detectors.top_anomalies(scored, n).select("row_index").collect())
-    return f"{facts['n']} rows scored, {facts['share']:.1%} anomalous; scores from {facts['lo']:.3g} to {facts['hi']:.3g}. Highest: rows {top}."
+    return f"{facts['n']} rows scored, {100 * facts['share']:.1f}% anomalous; scores from {facts['lo']:.3g} to {facts['hi']:.3g}. Highest: rows {top}."
 
 
 def _report(signals, table, features, models, anomalies, config, notes) -> Report:
@@ -117,8 +119,7 @@ def _report(signals, table, features, models, anomalies, config, notes) -> Repor
         lead[section] = " ".join(parts)
     bands = [f"band_energy_{b.name}" for b in (config.features.bands if config.features else config.bands)]
     if bands:
-        means = features.agg(*[F.avg(F.nanvl(F.col(b), F.lit(None))).alias(b) for b in bands]).first().asDict()
-        known = {k: v for k, v in means.items() if v is not None}
+        known = {r["band"]: r["mean_energy"] for r in feats.band_means(features).collect() if r["mean_energy"] is not None}
         if known:
             lead["frequency_domain_summary"] += f" Highest mean band: {max(known, key=known.get)}."
     if models:

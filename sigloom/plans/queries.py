@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import struct
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigloom.functions import exprs as X
-from sigloom.operators import autoencoder, detectors, joins, neighbours, quality, spectral, supervised
+from sigloom.operators import autoencoder, detectors, joins, neighbours, quality, records, spectral, supervised
 from sigloom.operators import features as feats
 from sigloom.operators import samples as S
 from sigloom.plans import pipeline as pipe
 from sigloom.plans import plotdata
+from sigloom.sources import files
 from sigloom.sources import synthetic as G
+from sigloom.sources.config import parse_config
 from sigloom.streaming import windows as streaming
+from sigloom.workspace import Workspace
 from sigloom.sources.tables import embedding_signals, events_samples, lineitem_samples, to_arrays, to_long
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +42,8 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, NaN and infinities as null."""
-    return df.select(*[F.round(X.finite_or_null(F.col(f"`{c}`")), digits).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
+    """Doubles rounded, NaN and infinities as null, zeros of either sign as one."""
+    return df.select(*[(F.round(X.finite_or_null(F.col(f"`{c}`")), digits) + F.lit(0.0)).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
 
 
 EVENTS = """samples AS (
@@ -385,7 +392,68 @@ def daily_window_stats(spark, sf_dir):
     return rounded(made.withColumns({c: F.unix_seconds(c) for c in ("window_start", "window_end")}))
 
 
-@query()
+def _features_sql(points: str, bands: tuple[tuple[str, float, float], ...], keys: str, grid: bool) -> str:
+    """Features of ``raw(keys, i, v)`` and of what a spectrum is taken of, ``points(keys, i, v, n, rate, size, step)``.
+
+    The text holds everything behind WITH up to ``features(keys, ...)``.
+    """
+    on = f"USING ({keys})"
+    energy = ", ".join(
+        f"CASE WHEN {low} >= max(rate) / 2 THEN NULL ELSE round(coalesce(sum(CASE WHEN k = 0 OR 2 * k = n THEN w * w ELSE w * w / 2 END) FILTER (f >= {low} "
+        f"AND (f < least({high}, rate / 2) OR (f = rate / 2 AND {high} >= rate / 2))), 0), 6) + 0.0 END AS band_energy_{name}"
+        for name, low, high in bands
+    )
+    text = f"""{points},
+    crossed AS (
+      SELECT {keys}, CAST(sum(CASE WHEN s <> b THEN 1 ELSE 0 END) AS DOUBLE) AS c
+      FROM (SELECT {keys}, v < 0 AS s, lag(v < 0) OVER (PARTITION BY {keys} ORDER BY i) AS b FROM raw WHERE v <> 0) GROUP BY {keys}
+    ), levels AS (SELECT {keys}, {TIME_COLUMNS.replace("value", "v")}, {RMS_COLUMNS.replace("value", "v")}, {SHAPE_COLUMNS.replace("value", "v")} FROM raw GROUP BY {keys}),
+    free AS (SELECT {keys}, i, n, rate, v - avg(v) OVER (PARTITION BY {keys}) AS v FROM points),
+    spectrum AS (
+      SELECT {keys}, k, n, rate, k * rate / n AS f, sqrt(pow(sum(v * cos(2 * pi() * ((i * k) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((i * k) % n) / n)), 2)) / n
+        * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS w
+      FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM free) GROUP BY {keys}, k, n, rate
+    ), weighed AS (
+      SELECT *, sum(w) OVER r AS total, sum(f * w) OVER r / sum(w) OVER r AS centroid, sum(w) OVER (PARTITION BY {keys} ORDER BY k) AS cum, sum(w * w) OVER r AS square,
+        max(CASE WHEN k > 0 THEN w END) OVER r AS top, max(k) OVER r AS last
+      FROM spectrum WINDOW r AS (PARTITION BY {keys})
+    ), described AS (
+      SELECT {keys}, min(f) FILTER (k > 0 AND w >= top * (1 - 1e-9)) AS dominant_frequency_hz, round(max(centroid), 6) + 0.0 AS spectral_centroid_hz,
+        round(sqrt(sum(w * pow(f - centroid, 2)) / max(total)), 6) + 0.0 AS spectral_bandwidth_hz, min(f) FILTER (cum >= 0.85 * total) AS spectral_rolloff_85_hz,
+        round(exp(avg(ln(greatest(w, 1e-12)))) / avg(greatest(w, 1e-12)), 6) + 0.0 AS spectral_flatness{", " + energy if energy else ""},
+        round(sum(CASE WHEN w > 0 THEN -(w * w / square) * log2(w * w / square) ELSE 0 END) / log2(max(last) + 1), 6) + 0.0 AS spectral_entropy
+      FROM weighed GROUP BY {keys}, n, rate
+    )"""
+    if grid:
+        text += f""", framed AS (
+      SELECT *, i - fr * step AS j FROM (
+        SELECT *, unnest(range(CAST(greatest(0, ceil((i - size + 1) / step)) AS BIGINT), CAST(least(floor(i / step), (n - size) // step) AS BIGINT) + 1)) AS fr FROM points
+      )
+    ), tapered AS (SELECT {keys}, fr, j, rate, size, (v - avg(v) OVER (PARTITION BY {keys}, fr)) * (0.5 - 0.5 * cos(2 * pi() * j / size)) AS x FROM framed),
+    powers AS (
+      SELECT {keys}, fr, k, rate, size, (pow(sum(x * cos(2 * pi() * ((j * k) % size) / size)), 2) + pow(sum(x * sin(2 * pi() * ((j * k) % size) / size)), 2))
+        / (rate * 0.375 * size) * CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END AS p
+      FROM (SELECT *, unnest(range(0, size // 2 + 1)) AS k FROM tapered) GROUP BY {keys}, fr, k, rate, size
+    ), frames_ AS (
+      SELECT {keys}, fr, sum(p) AS s, count(*) AS c, max(p) AS m, coalesce(sum(p) FILTER (k * rate / size >= 0.375 * rate), 0) AS h FROM powers GROUP BY {keys}, fr, rate
+    ), gridded AS (
+      SELECT {keys}, round(sum(s) / sum(c), 6) + 0.0 AS mean_spectrogram_energy, round(max(m), 6) + 0.0 AS max_spectrogram_energy,
+        round(max(h), 6) + 0.0 AS high_frequency_transient_energy FROM frames_ GROUP BY {keys}
+    )"""
+    joined = f"levels JOIN described {on} LEFT JOIN crossed {on}" + (f" JOIN gridded {on}" if grid else "")
+    return f"{text}, features AS (SELECT * FROM {joined})"
+
+
+_RECORD_POINTS = """vectors AS (SELECT vec_id AS record_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+points AS (SELECT record_id, unnest(range(0, 64)) AS i, unnest(x) AS v, 64 AS n, 64.0::DOUBLE AS rate, 16 AS size, 8 AS step FROM vectors),
+raw AS (SELECT * FROM points)"""
+
+
+@query(
+    f"""WITH {_features_sql(_RECORD_POINTS, (("low", 0.0, 8.0), ("mid", 8.0, 20.0), ("high", 20.0, 32.0), ("over", 40.0, 60.0)), "record_id", True)}
+    SELECT f.* EXCLUDE (c), 'vec_' || record_id AS record_name, CAST(label AS VARCHAR) AS label, 64.0::DOUBLE AS sampling_rate_hz, 64.0::DOUBLE AS n_samples, 1.0::DOUBLE AS duration_seconds,
+      round(coalesce(c, 0) / 63 * 64, 6) + 0.0 AS zero_crossing_rate, 'ok' AS status FROM features f JOIN vectors USING (record_id)"""
+)
 def record_features(spark, sf_dir):
     return rounded(feats.extract_features(embedding_signals(spark, sf_dir), feats.FeatureConfig(_bands(), 0.25, 0.125)))
 
@@ -394,7 +462,16 @@ def _bands() -> tuple[feats.Band, ...]:
     return tuple(feats.Band(n, a, b) for n, a, b in BANDS)
 
 
-@query()
+_SLIDING_POINTS = f"""{EVENTS}, {SLIDES}, raw AS (SELECT record_id, window_index, sample_index - {STEP} * window_index AS i, value AS v FROM windows),
+points AS (SELECT record_id, window_index, i, v * (0.5 - 0.5 * cos(2 * pi() * i / {WINDOW})) / sqrt(0.375) AS v, {WINDOW} AS n, 1.0::DOUBLE AS rate, 0 AS size, 0 AS step FROM raw)"""
+
+
+@query(
+    f"""WITH {_features_sql(_SLIDING_POINTS, (("low", 0.0, 0.2),), "record_id, window_index", False)}
+    SELECT * EXCLUDE (c, spectral_entropy), 'record_' || record_id AS record_name, CAST(NULL AS VARCHAR) AS label, CAST(window_index * {STEP} AS DOUBLE) AS window_start_seconds,
+      CAST(window_index * {STEP} + {WINDOW} AS DOUBLE) AS window_end_seconds, window_index * {STEP} + {WINDOW / 2}::DOUBLE AS window_center_seconds, {WINDOW}::DOUBLE AS window_n_samples,
+      'hann' AS frequency_window, round(coalesce(c, 0) / {WINDOW - 1}, 6) + 0.0 AS zero_crossing_rate FROM features"""
+)
 def sliding_features(spark, sf_dir):
     return rounded(feats.sliding_features(to_arrays(_samples(spark, sf_dir)), feats.SlidingConfig(WINDOW, STEP, (feats.Band("low", 0.0, 0.2),))))
 
@@ -561,13 +638,56 @@ def convolve_signals(spark, sf_dir):
     return rounded(G.convolve_signals(G.sine_wave(spark), box)).withColumn("value", F.col("value") + F.lit(0.0))
 
 
-@query()
+def _noise_sql(seed: int = 0, std: float = 0.1, n: int = 1000) -> str:
+    """The seeded noise of a noisy sine, whose stream is sequential, as a table ``noise(i, z)``."""
+    drawn = np.random.default_rng(seed).normal(0.0, std, n)
+    return f"noise AS (SELECT unnest(range(0, {n})) AS i, unnest([{', '.join(map(repr, map(float, drawn)))}]::DOUBLE[]) AS z)"
+
+
+BURST = "CASE WHEN i / 2000.0::DOUBLE >= 0.4 AND i / 2000.0::DOUBLE < 0.4 + 0.05 THEN sin(2 * pi() * 500 * (i / 2000.0::DOUBLE)) ELSE 0 END"
+_SYNTHETIC_POINTS = f"""{_noise_sql()}, short AS (SELECT i, i / 1000.0::DOUBLE AS t FROM (SELECT unnest(range(0, 1000)) AS i)), made AS (
+  SELECT 0 AS record_id, 'sine_wave' AS record_name, i, sin(2 * pi() * 50 * t) AS v, 1000 AS n FROM short
+  UNION ALL SELECT 1, 'noisy_sine_wave', i, sin(2 * pi() * 50 * t) + z, 1000 FROM short JOIN noise USING (i)
+  UNION ALL SELECT 2, 'impulse_train', i, CASE WHEN i % 50 = 0 THEN 1.0::DOUBLE ELSE 0 END, 1000 FROM short
+  UNION ALL SELECT 3, 'chirp', i, sin(2 * pi() * (20 * t + 90 * t * t)), 1000 FROM short
+  UNION ALL SELECT 4, 'clipped_signal', i, greatest(-1, least(1, 1.5 * sin(2 * pi() * 50 * t))), 1000 FROM short
+  UNION ALL SELECT 5, 'transient_burst', i, {BURST}, 2000 FROM (SELECT unnest(range(0, 2000)) AS i)
+), points AS (SELECT CAST(record_id AS BIGINT) AS record_id, record_name, i, v, n, CAST(n AS DOUBLE) AS rate, n // 10 AS size, n // 20 AS step FROM made), raw AS (SELECT * FROM points)"""
+
+
+@query(
+    f"""WITH {_features_sql(_SYNTHETIC_POINTS, (("low", 0.0, 100.0), ("mid", 100.0, 500.0)), "record_id, record_name", True)}
+    SELECT * EXCLUDE (c, skewness, zero_crossing_rate), round(skewness, 5) + 0.0 AS skewness, zero_crossing_rate FROM (
+      SELECT f.*, CAST(NULL AS VARCHAR) AS label, n::DOUBLE AS sampling_rate_hz, n::DOUBLE AS n_samples, 1.0::DOUBLE AS duration_seconds, 'ok' AS status,
+        round(coalesce(c, 0) / (n - 1) * n, 6) + 0.0 AS zero_crossing_rate FROM features f JOIN (SELECT DISTINCT record_id, n FROM points) USING (record_id)
+    )"""
+)
 def synthetic_features(spark, sf_dir):
     """The flagship analysis' feature table over the six default records."""
-    return rounded(feats.extract_features(G.synthetic_dataset(spark), feats.FeatureConfig(feats.bands_from_mapping({"low": (0, 100), "mid": (100, 500)}))))
+    made = feats.extract_features(G.synthetic_dataset(spark), feats.FeatureConfig(feats.bands_from_mapping({"low": (0, 100), "mid": (100, 500)})))
+    return rounded(rounded(made).withColumn("skewness", F.round("skewness", 5)))
 
 
-@query()
+@query(
+    f"""WITH {_noise_sql(3, 0.25)}, t AS (SELECT i, i / 1000.0::DOUBLE AS t FROM (SELECT unnest(range(0, 1000)) AS i))
+    SELECT 'noisy' AS name, i AS sample_index, round(sin(2 * pi() * 50 * t) + z, 6) + 0.0 AS value FROM t JOIN noise USING (i)
+    UNION ALL SELECT 'burst', i, round({BURST}, 6) + 0.0 FROM (SELECT unnest(range(0, 2000)) AS i)"""
+)
+def generate_noisy_and_burst(spark, sf_dir):
+    noisy = G.noisy_sine_wave(spark, noise_std=0.25, seed=3).withColumn("name", F.lit("noisy"))
+    return rounded(noisy.unionByName(G.transient_burst(spark).withColumn("name", F.lit("burst")))).select("name", "sample_index", "value")
+
+
+@query(
+    f"""WITH {FEATURE_ROWS}, z AS (
+      SELECT row_index, (rms - avg(rms) OVER ()) / stddev_pop(rms) OVER () AS x, (crest - avg(crest) OVER ()) / stddev_pop(crest) OVER () AS y, (sd - avg(sd) OVER ()) / stddev_pop(sd) OVER () AS w FROM table_
+    ), r AS (SELECT corr(rms, crest) AS a, corr(rms, sd) AS b, corr(crest, sd) AS c FROM table_),
+    q AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM r),
+    least AS (SELECT a, b, c, 2 * p * cos(acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3 + 2 * pi() / 3) AS l FROM q),
+    axis AS (SELECT a * c + b * l AS u, a * b + c * l AS v, l * l - a * a AS w FROM least),
+    scored AS (SELECT row_index, pow(z.x * u + z.y * v + z.w * axis.w, 2) / (u * u + v * v + axis.w * axis.w) / 3 AS s FROM z, axis)
+    SELECT row_index, round(s, 6) + 0.0 AS anomaly_score, row_number() OVER (ORDER BY s DESC, row_index) AS anomaly_rank FROM scored"""
+)
 def pca_reconstruction(spark, sf_dir):
     return rounded(detectors.rank_scores(detectors.pca_reconstruction(_table(spark, sf_dir), 2)))
 
@@ -587,7 +707,25 @@ def robust_mahalanobis(spark, sf_dir):
     return rounded(detectors.rank_scores(detectors.robust_mahalanobis(_table(spark, sf_dir))))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {FEATURE_ROWS}, z AS (
+      SELECT row_index, (rms - avg(rms) OVER ()) / stddev_pop(rms) OVER () AS x, (crest - avg(crest) OVER ()) / stddev_pop(crest) OVER () AS y, (sd - avg(sd) OVER ()) / stddev_pop(sd) OVER () AS w FROM table_
+    ), pairs AS (SELECT p.row_index AS a, q.row_index AS b, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.w - q.w, 2)) AS d FROM z p, z q),
+    core AS (SELECT a FROM pairs WHERE d <= 0.5 GROUP BY a HAVING count(*) >= 5),
+    links AS (SELECT a, b FROM pairs WHERE d <= 0.5 AND a IN (FROM core) AND b IN (FROM core)),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    cluster AS (SELECT a, dense_rank() OVER (ORDER BY m) - 1 AS c FROM (SELECT a, min(b) AS m FROM reach GROUP BY a)),
+    labels AS (
+      SELECT row_index, coalesce(max(k.c), min(n.c), -1) AS label FROM z LEFT JOIN cluster k ON k.a = row_index
+      LEFT JOIN pairs p ON p.a = row_index AND p.d <= 0.5 LEFT JOIN cluster n ON n.a = p.b GROUP BY row_index
+    ), centres AS (SELECT label, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(w) AS w FROM z JOIN labels USING (row_index) WHERE label >= 0 GROUP BY label),
+    away AS (SELECT row_index, min(sqrt(pow(z.x - c.x, 2) + pow(z.y - c.y, 2) + pow(z.w - c.w, 2))) AS d FROM z, centres c GROUP BY row_index),
+    radius AS (SELECT a, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM pairs) WHERE r = 5),
+    scored AS (
+      SELECT l.row_index, l.label, coalesce(w.d, 0) + CASE WHEN (SELECT count(*) FROM centres) = 0 THEN 0 WHEN l.label < 0 THEN 2 + (SELECT max(d) FROM away) ELSE 1.0::DOUBLE / c.n END + r.d AS s
+      FROM labels l LEFT JOIN away w USING (row_index) JOIN radius r ON r.a = l.row_index LEFT JOIN centres c ON c.label = l.label
+    ) SELECT row_index, round(s, 6) + 0.0 AS anomaly_score, label AS cluster_label, row_number() OVER (ORDER BY s DESC, row_index) AS anomaly_rank FROM scored"""
+)
 def dbscan_scores(spark, sf_dir):
     return rounded(detectors.rank_scores(neighbours.dbscan_scores(_table(spark, sf_dir), 0.5, 5)))
 
@@ -606,12 +744,42 @@ def supervised_predictions(spark, sf_dir):
     return out
 
 
-@query()
+def _direct_form(order: int, rate: float, low: float | None, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of a low-pass or band-pass by substitution into the prototype's factors."""
+    if low is None:
+        up, down = np.tan(np.pi * high / rate) * np.array([1.0, 1.0]), np.array([1.0, -1.0])
+    else:
+        a, b = np.pi * low / rate, np.pi * high / rate
+        up, down = np.tan(b - a) * np.array([1.0, 0.0, -1.0]), np.array([1.0, -2 * np.cos(a + b) / np.cos(b - a), 1.0])
+    top, bottom = np.ones(1), np.ones(1)
+    for k in range(order // 2):
+        damping = 2 * np.sin(np.pi * (2 * k + 1) / (2 * order))
+        top = np.polymul(top, np.polymul(up, up))
+        bottom = np.polymul(bottom, np.polymul(down, down) + damping * np.polymul(up, down) + np.polymul(up, up))
+    return top / bottom[0], bottom / bottom[0]
+
+
+def _filter_sql(low: float | None, high: float, pad: int) -> str:
+    """Forward and backward recursion over odd extensions, from the state that the first value would have left."""
+    top, bottom = _direct_form(4, 64.0, low, high)
+    gain, size = float(top.sum() / bottom.sum()) if low is None else 0.0, 64 + 2 * pad
+    new = " + ".join(f"({float(b)!r}) * e[greatest(1, t + 1 - {k})]" for k, b in enumerate(top))
+    new += "".join(f" - ({float(a)!r}) * CASE WHEN t >= {k} THEN y[t + 1 - {k}] ELSE {gain!r} * e[1] END" for k, a in enumerate(bottom) if k)
+    turn = f"UNION ALL SELECT record_id, e, t + 1, list_append(y, {new})"
+    return f"""WITH RECURSIVE vectors AS (SELECT vec_id AS record_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    extended AS (
+      SELECT record_id, list_concat(list_concat([2 * x[1] - x[{pad} + 2 - k] for k in range(1, {pad + 1})], x), [2 * x[64] - x[64 - k] for k in range(1, {pad + 1})]) AS e FROM vectors
+    ), forth AS (SELECT record_id, e, 0 AS t, []::DOUBLE[] AS y FROM extended {turn} FROM forth WHERE t < {size}),
+    back AS (SELECT record_id, list_reverse(y) AS e, 0 AS t, []::DOUBLE[] AS y FROM forth WHERE t = {size} {turn} FROM back WHERE t < {size})
+    SELECT record_id, unnest(range(0, 64)) AS sample_index, round(unnest(list_slice(list_reverse(y), {pad + 1}, {pad + 64})), 6) + 0.0 AS value FROM back WHERE t = {size}"""
+
+
+@query(_filter_sql(None, 8.0, 15))
 def lowpass_filter(spark, sf_dir):
     return _filtered(spark, sf_dir, "lowpass", None, 8.0)
 
 
-@query()
+@query(_filter_sql(4.0, 16.0, 27))
 def bandpass_filter(spark, sf_dir):
     return _filtered(spark, sf_dir, "bandpass", 4.0, 16.0)
 
@@ -620,28 +788,72 @@ def _filtered(spark, sf_dir, kind, low, high):
     return rounded(to_long(spectral.filter_signals(embedding_signals(spark, sf_dir), kind, low, high)))
 
 
-@query()
+@query(_filter_sql(None, 8.0, 15))
+def configured_filter(spark, sf_dir):
+    """The filter that a project's configuration asks for."""
+    project = parse_config("filtering:\n  enabled: true\n  kind: lowpass\n  high_cut_hz: 8\n  order: 4\n")
+    return rounded(to_long(pipe.configured_filter(embedding_signals(spark, sf_dir), project.filtering)))
+
+
+@query(
+    f"""WITH {DFT}, shifted AS (
+      SELECT p.record_id, p.i, first(p.v) AS re, sum(CASE WHEN (p.i - q.i) % 2 <> 0 THEN q.v * 2 / 64 / tan(pi() * (p.i - q.i) / 64) ELSE 0 END) AS im
+      FROM points p JOIN points q ON p.record_id = q.record_id GROUP BY p.record_id, p.i
+    ), turned AS (SELECT *, lead(atan2(im, re)) OVER r - atan2(im, re) AS d FROM shifted WINDOW r AS (PARTITION BY record_id ORDER BY i)),
+    speeds AS (SELECT *, (d - 2 * pi() * floor((d + pi()) / (2 * pi()))) * 64 / (2 * pi()) AS f FROM turned)
+    SELECT record_id, i AS sample_index, round(sqrt(re * re + im * im), 6) + 0.0 AS envelope,
+      round(coalesce(f, lag(f) OVER (PARTITION BY record_id ORDER BY i)), 6) + 0.0 AS instantaneous_frequency_hz FROM speeds"""
+)
 def hilbert_envelope(spark, sf_dir):
     return rounded(spectral.hilbert(embedding_signals(spark, sf_dir)).select("record_id", "sample_index", "envelope", "instantaneous_frequency_hz"))
 
 
-@query()
+@query(
+    f"""WITH {DFT}, scales AS (SELECT unnest(range(0, 6)) AS s, unnest([4.0, 8.0, 12.0, 16.0, 24.0, 32.0]::DOUBLE[]) AS f),
+    taps AS (SELECT s, f, d, exp(-pow(d * f / 64, 2) / 1.5) / sqrt(pi() * 1.5 * 64 / f) AS g FROM scales, (SELECT unnest(range(-63, 64)) AS d)),
+    cells AS (
+      SELECT p.record_id, s, f, q.i, sum(p.v * g * cos(2 * pi() * d * f / 64)) AS re, sum(p.v * g * sin(2 * pi() * d * f / 64)) AS im
+      FROM points p JOIN points q ON p.record_id = q.record_id JOIN taps ON d = p.i - q.i GROUP BY ALL
+    ) SELECT record_id, s AS scale_index, f AS frequency_hz, round(avg(re * re + im * im), 6) + 0.0 AS mean_power FROM cells GROUP BY ALL"""
+)
 def scalogram_ridge(spark, sf_dir):
     cells = spectral.scalogram(embedding_signals(spark, sf_dir), [4.0, 8.0, 12.0, 16.0, 24.0, 32.0])
     return rounded(cells.groupBy("record_id", "scale_index", "frequency_hz").agg(F.avg("power").alias("mean_power")))
 
 
-@query()
+PATCHES = f"""{DFT}, patches AS (SELECT record_id, p AS window_index, i - 16 * p AS i, v FROM points, (SELECT unnest(range(0, 3)) AS p) WHERE i >= 16 * p AND i < 16 * p + 32),
+framed AS (SELECT record_id, window_index, f, i - 4 * f AS j, v FROM patches, (SELECT unnest(range(0, 7)) AS f) WHERE i >= 4 * f AND i < 4 * f + 8),
+tapered AS (SELECT *, (v - avg(v) OVER (PARTITION BY record_id, window_index, f)) * (0.5 - 0.5 * cos(2 * pi() * j / 8)) AS x FROM framed),
+cells AS (
+  SELECT record_id, window_index, f, k, 10 * log10(greatest(1e-24, (pow(sum(x * cos(2 * pi() * ((j * k) % 8) / 8)), 2) + pow(sum(x * sin(2 * pi() * ((j * k) % 8) / 8)), 2))
+    / (64 * 3) * CASE WHEN k IN (0, 4) THEN 1 ELSE 2 END)) AS db FROM tapered, (SELECT unnest(range(0, 5)) AS k) GROUP BY record_id, window_index, f, k
+)"""
+PATCH_CONFIG = autoencoder.PatchConfig(0.5, 0.25, 0.125, 0.0625, 32.0)
+
+
+@query(f"WITH {PATCHES} SELECT record_id, window_index, CAST(count(*) AS INTEGER) AS cells, round(max(db), 4) + 0.0 AS top_db FROM cells GROUP BY record_id, window_index")
 def spectrogram_patches(spark, sf_dir):
-    config = autoencoder.PatchConfig(0.5, 0.25, 0.125, 0.0625, 32.0)
-    patches = autoencoder.patches(embedding_signals(spark, sf_dir), config)
-    return rounded(patches.select("record_id", "window_index", F.size("patch").alias("cells"), F.array_max("patch").alias("top_db")))
+    patches = autoencoder.patches(embedding_signals(spark, sf_dir), PATCH_CONFIG)
+    return rounded(patches.select("record_id", "window_index", F.size("patch").alias("cells"), F.array_max("patch").alias("top_db")), 4)
+
+
+@query(
+    f"""WITH {DFT}, peaks AS (SELECT record_id, i / 64.0::DOUBLE AS a, (i + 2) / 64.0::DOUBLE AS b FROM points WHERE v > 0.25)
+    SELECT v.record_id, p AS window_index, 'vec_' || v.record_id AS record_name, CAST(v.label AS VARCHAR) AS label, p * 0.25::DOUBLE AS start_seconds, p * 0.25::DOUBLE + 0.5 AS end_seconds,
+      p * 0.25::DOUBLE + 0.25 AS center_seconds, EXISTS (SELECT 1 FROM peaks k WHERE k.record_id = v.record_id AND p * 0.25 < b AND p * 0.25 + 0.5 > a) AS known_anomaly_overlap
+    FROM vectors v, (SELECT unnest(range(0, 3)) AS p)"""
+)
+def patch_metadata(spark, sf_dir):
+    signals = embedding_signals(spark, sf_dir)
+    peaks = to_long(signals).where("value > 0.25").select(
+        "record_id", (F.col("sample_index") / F.lit(64.0)).alias("start_seconds"), ((F.col("sample_index") + 2) / F.lit(64.0)).alias("end_seconds")
+    )
+    return autoencoder.patch_metadata(autoencoder.patches(signals, PATCH_CONFIG), signals, peaks)
 
 
 @query()
 def autoencoder_scores(spark, sf_dir):
-    config = autoencoder.PatchConfig(0.5, 0.25, 0.125, 0.0625, 32.0)
-    patches = autoencoder.patches(embedding_signals(spark, sf_dir), config)
+    patches = autoencoder.patches(embedding_signals(spark, sf_dir), PATCH_CONFIG)
     return rounded(autoencoder.score(patches.where("label <> '0'"), patches, autoencoder.TrainConfig(epochs=5)).drop("patch"), 4)
 
 
@@ -649,14 +861,205 @@ def autoencoder_scores(spark, sf_dir):
     f"""WITH {EVENTS}, {SLIDES}, levels AS (SELECT record_id, window_index, sqrt(avg(value * value)) AS rms, max(abs(value)) / sqrt(avg(value * value)) AS crest FROM windows GROUP BY ALL),
     med AS (SELECT median(rms) AS a, median(crest) AS b FROM levels), spread AS (SELECT median(abs(rms - a)) AS x, median(abs(crest - b)) AS y FROM levels, med)
     SELECT record_id, window_index, round(greatest(0, 0.6745 * (rms - a) / x) + greatest(0, 0.6745 * (crest - b) / y), 6) AS anomaly_score
-    FROM levels, med, spread ORDER BY greatest(0, 0.6745 * (rms - a) / x) + greatest(0, 0.6745 * (crest - b) / y) DESC, record_id * 1000000 + window_index LIMIT 10"""
+    FROM levels, med, spread ORDER BY greatest(0, 0.6745 * (rms - a) / x) + greatest(0, 0.6745 * (crest - b) / y) DESC, record_id, window_index LIMIT 10"""
 )
 def anomalous_windows(spark, sf_dir):
     """The flagship: events to samples to sliding levels to robust scores to the top ten, natively."""
     v = F.col("value")
     levels = S.segment(_samples(spark, sf_dir), WINDOW, STEP).groupBy("record_id", "window_index").agg(X.rms(v).alias("rms"), X.crest(v).alias("crest"))
-    table = levels.withColumn("row_index", F.col("record_id") * 1000000 + F.col("window_index")).select("row_index", "rms", "crest")
+    table = levels.select(F.struct("record_id", "window_index").alias("row_index"), "rms", "crest")
     top = detectors.top_anomalies(detectors.robust_z(table), 10)
-    return rounded(
-        top.select(F.floor(F.col("row_index") / 1000000).cast("long").alias("record_id"), (F.col("row_index") % 1000000).alias("window_index"), "anomaly_score")
-    )
+    return rounded(top.select("row_index.record_id", "row_index.window_index", "anomaly_score"))
+
+
+def _export(spark, sf_dir, kind: str) -> str:
+    """Every user's events as a file of its own in the shared folder: CSV with a time column, or bare values."""
+    path = Workspace(spark, "export").path(kind)
+    t = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2020-01-01', ts)") / F.lit(1e6)
+    rows = events_samples(spark, sf_dir).select(F.col("record_id").alias("user"), "sample_index", t.alias("time"), F.col("value").alias("signal"))
+    rows = rows.repartition("user").sortWithinPartitions("user", "sample_index").drop("sample_index")
+    if kind == "csv":
+        rows.write.option("header", True).partitionBy("user").csv(path)
+    else:
+        rows.select("user", F.col("signal").cast("string")).write.partitionBy("user").text(path)
+    return path
+
+
+def _user(path: str = "source_path"):
+    return F.regexp_extract(path, r"user=(\d+)", 1).cast("long")
+
+
+@query(
+    f"""WITH {EVENTS}, secs AS (SELECT record_id, sample_index, value, date_diff('microsecond', TIMESTAMP '2020-01-01', ts) / 1e6 AS t FROM samples),
+    steps AS (SELECT *, t - lag(t) OVER (PARTITION BY record_id ORDER BY sample_index) AS d FROM secs),
+    base AS (SELECT record_id, count(*) AS n, sum(value) AS total, arg_max(value, sample_index) AS last, median(d) AS med, count(*) FILTER (d <= 0) AS back FROM steps GROUP BY record_id)
+    SELECT record_id, n >= 2 AND back = 0 AS time_axis_valid, CASE WHEN n >= 2 AND back = 0 THEN n END AS n_samples, CASE WHEN n >= 2 AND back = 0 THEN round(total, 4) + 0.0 END AS total,
+      CASE WHEN n >= 2 AND back = 0 THEN round(last, 6) + 0.0 END AS last_value, CASE WHEN n >= 2 AND back = 0 THEN round(1 / med, 9) + 0.0 END AS sampling_rate_hz,
+      CASE WHEN n >= 2 AND back = 0 THEN 'time_column' END AS sampling_rate_source, CASE WHEN n >= 2 AND back = 0 THEN 'signal' END AS signal_column FROM base"""
+)
+def load_csv_signals(spark, sf_dir):
+    """CSV files with a time column, which gives the sampling rate; a file whose times give none says so."""
+    made = files.load_signals(spark, _export(spark, sf_dir, "csv"), ("*.csv",))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return made.select(
+        _user().alias("record_id"), F.coalesce("time_axis_valid", F.lit(False)).alias("time_axis_valid"), F.size("values").cast("long").alias("n_samples"), (F.round(total, 4) + 0.0).alias("total"),
+        (F.round(F.element_at("values", -1), 6) + 0.0).alias("last_value"), (F.round("sampling_rate_hz", 9) + 0.0).alias("sampling_rate_hz"), "sampling_rate_source", "signal_column",
+    ).withColumn("n_samples", F.when(F.col("n_samples") >= 0, F.col("n_samples")))
+
+
+@query(
+    f"""WITH {EVENTS} SELECT record_id, 'user_' || record_id AS record_name, count(*) AS n_samples, round(sum(value), 4) + 0.0 AS total, 4.0::DOUBLE AS sampling_rate_hz, 'provided' AS sampling_rate_source,
+    CASE WHEN record_id IN (3, 7) THEN 'mapped' WHEN record_id % 5 < 3 THEN 'meta' END AS label FROM samples GROUP BY record_id"""
+)
+def load_labelled_dataset(spark, sf_dir):
+    """Text files at a given rate, with labels by name and from a metadata table that names the files."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_index", "value"))), lambda s: s["value"].cast("string")), "\n")
+    contents = _samples(spark, sf_dir).groupBy("record_id").agg(lines.cast("binary").alias("content"))
+    stored = contents.select(F.format_string("/data/user_%d.txt", "record_id").alias("path"), "content")
+    meta = contents.where("record_id % 5 < 3").select(F.col("record_id").alias("row_pos"), F.format_string("user_%d.txt", "record_id").alias("file_name"), F.lit("meta").alias("label"))
+    made = files.label_records(files.decode_files(stored, 4.0), meta, {"user_3": "mapped", "user_7": "mapped", "user_1": ""})
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return made.select(
+        F.regexp_extract("record_name", r"(\d+)$", 1).cast("long").alias("record_id"), "record_name", F.size("values").cast("long").alias("n_samples"),
+        (F.round(total, 4) + 0.0).alias("total"), "sampling_rate_hz", "sampling_rate_source", "label",
+    )
+
+
+def _encoded(spark, sf_dir, kind: str) -> DataFrame:
+    """Every embedding as the bytes of a file: an NPY array, or a WAV file of two channels, the second negated."""
+
+    def npy(x: np.ndarray) -> bytes:
+        out = io.BytesIO()
+        np.save(out, x)
+        return out.getvalue()
+
+    def wav(x: np.ndarray, form: int) -> bytes:
+        both = np.stack([x, -x], axis=1)
+        bits = (8, 16, 32, 32)[form]
+        data = (
+            np.rint(both * 127 + 128).astype(np.uint8), np.rint(both * 32767).astype("<i2"), np.rint(both * 2147483647).astype("<i4"), both.astype("<f4")
+        )[form].tobytes()
+        head = struct.pack("<HHIIHH", 3 if form == 3 else 1, 2, 64, 64 * 2 * bits // 8, 2 * bits // 8, bits)
+        return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(data)) + data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, np.array(v, np.float64)) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            contents = [npy(x) if kind == "npy" else wav(x, i % 4) for i, x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([f"/data/vec_{i}.{kind}" for i, _ in rows]), pa.array(contents, pa.binary())], ["path", "content"])
+
+    return embedding_signals(spark, sf_dir).select("record_id", "values").mapInArrow(run, "path string, content binary")
+
+
+def _decoded(records: DataFrame) -> DataFrame:
+    rows = records.select("record_name", "sampling_rate_hz", "sampling_rate_source", "status", F.posexplode("values").alias("sample_index", "value"))
+    return rounded(rows.withColumn("sample_index", F.col("sample_index").cast("long")), 9)
+
+
+VECTOR_SAMPLES = "vectors AS (SELECT vec_id, unnest(range(0, 64)) AS sample_index, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)"
+
+
+@query(f"WITH {VECTOR_SAMPLES} SELECT 'vec_' || vec_id AS record_name, 64.0::DOUBLE AS sampling_rate_hz, 'provided' AS sampling_rate_source, 'ok' AS status, sample_index, round(v, 9) + 0.0 AS value FROM vectors")
+def decode_npy(spark, sf_dir):
+    return _decoded(files.decode_files(_encoded(spark, sf_dir, "npy"), 64.0))
+
+
+@query(
+    f"""WITH {VECTOR_SAMPLES}, channels AS (SELECT vec_id, sample_index, c, CASE WHEN c = 0 THEN v ELSE -v END AS v FROM vectors, (SELECT unnest([0, 1]) AS c))
+    SELECT 'vec_' || vec_id || '_' || c AS record_name, 64.0::DOUBLE AS sampling_rate_hz, 'file' AS sampling_rate_source, 'ok' AS status, sample_index,
+      round(CASE vec_id % 4 WHEN 0 THEN (round_even(v * 127 + 128, 0) - 128) / 128 WHEN 1 THEN round_even(v * 32767, 0) / 32768 WHEN 2 THEN round_even(v * 2147483647, 0) / 2147483648
+        ELSE CAST(CAST(v AS FLOAT) AS DOUBLE) END, 9) + 0.0 AS value FROM channels"""
+)
+def decode_wav(spark, sf_dir):
+    return _decoded(files.decode_files(_encoded(spark, sf_dir, "wav"), split_channels=True))
+
+
+@query(
+    f"""WITH {EVENTS}, zoomed AS (SELECT record_id, sample_index, value, count(*) OVER (PARTITION BY record_id) AS n, sample_index - 5 AS i FROM samples WHERE sample_index >= 5 AND sample_index < 45),
+    binned AS (SELECT *, (i * 10 + 9) // n AS bin FROM zoomed WHERE n > 20),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY record_id, bin ORDER BY value, i) AS lo, row_number() OVER (PARTITION BY record_id, bin ORDER BY value DESC, i) AS hi FROM binned)
+    SELECT record_id, sample_index, CAST(sample_index AS DOUBLE) AS time_seconds, round(value, 6) + 0.0 AS value FROM ranked WHERE lo = 1 OR hi = 1
+    UNION ALL SELECT record_id, sample_index, CAST(sample_index AS DOUBLE), round(value, 6) + 0.0 FROM zoomed WHERE n <= 20"""
+)
+def plot_time_signal(spark, sf_dir):
+    """The drawn points of a zoomed time plot."""
+    return rounded(plotdata.time_signal(_samples(spark, sf_dir), 1.0, 5.0, 40.0, 20))
+
+
+@query(
+    f"""WITH {DFT}, tapered AS (SELECT record_id, i, v * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS x FROM free),
+    cells AS (
+      SELECT record_id, k, (pow(sum(x * cos(2 * pi() * ((i * k) % 64) / 64)), 2) + pow(sum(x * sin(2 * pi() * ((i * k) % 64) / 64)), 2)) / (64 * 24) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS p
+      FROM tapered, (SELECT unnest(range(0, 33)) AS k) GROUP BY record_id, k
+    ) SELECT record_id, k AS bin, CAST(k AS DOUBLE) AS frequency_hz, round(p, 6) + 0.0 AS weight FROM cells WHERE k > 0"""
+)
+def plot_power_spectrum(spark, sf_dir):
+    """The drawn points of a power spectrum on a logarithmic frequency axis, which has no place for 0 Hz."""
+    return rounded(plotdata.frequency_spectrum(embedding_signals(spark, sf_dir), "psd", log_frequency=True))
+
+
+@query(
+    f"""WITH {FEATURE_ROWS}, each AS (
+      SELECT 'rms' AS feature, corr(row_index, rms) AS v FROM table_ UNION ALL SELECT 'crest', corr(row_index, crest) FROM table_ UNION ALL SELECT 'sd', corr(row_index, sd) FROM table_
+    ) SELECT feature, round(v, 6) + 0.0 AS importance FROM each ORDER BY abs(v) DESC, feature LIMIT 2"""
+)
+def top_importances(spark, sf_dir):
+    """Features by the size of a signed importance."""
+    names = ("rms", "crest", "sd")
+    row = _table(spark, sf_dir).agg(*[F.corr("row_index", c).alias(c) for c in names]).first()
+    return rounded(plotdata.feature_importance({c: row[c] for c in names}, spark, 2))
+
+
+@query(
+    f"""WITH {EVENTS}, {GAPS}, sized AS (SELECT record_id, count(*) AS n, count(value) AS k FROM gaps GROUP BY record_id)
+    SELECT record_id, CASE WHEN k < n THEN 'The record contains non-finite samples.' ELSE 'ok' END AS status FROM sized"""
+)
+def record_checks(spark, sf_dir):
+    """Whether each record can be analysed: samples, a sampling rate, and finite values."""
+    return records.checked(to_arrays(_gaps(spark, sf_dir))).select("record_id", "status")
+
+
+@query(
+    f"""WITH {ROBUST}, top AS (SELECT row_index FROM scored ORDER BY anomaly_score DESC, row_index LIMIT 5)
+    SELECT format('{{}} rows scored, {{:.1f}}% anomalous; scores from {{:.3g}} to {{:.3g}}. Highest: rows {{}}.', count(*), 100 * avg(CASE WHEN anomaly_score > 0 THEN 1.0::DOUBLE ELSE 0 END),
+      min(anomaly_score), max(anomaly_score), (SELECT string_agg(CAST(row_index AS VARCHAR), ', ' ORDER BY s DESC, row_index) FROM (SELECT row_index, anomaly_score AS s FROM scored WHERE row_index IN (FROM top)))) AS summary FROM scored"""
+)
+def anomaly_summary(spark, sf_dir):
+    """The sentence that a report has on anomaly scores."""
+    return spark.createDataFrame([(pipe.anomaly_text(detectors.robust_z(_table(spark, sf_dir))),)], "summary string")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    level AS (SELECT vec_id, sqrt(list_sum(list_transform(x, lambda e: e * e)) / 64) AS rms FROM v),
+    labels AS (SELECT coalesce(label, 'unlabeled') AS l, count(*) AS n FROM v GROUP BY 1)
+    SELECT 'dataset_overview' AS section, format('Records: {}. Labels: {}. Sampling rates: 64 to 64 Hz.', (SELECT count(*) FROM v), (SELECT string_agg(l || ': ' || n, ', ' ORDER BY n DESC, l) FROM labels)) AS text
+    UNION ALL SELECT 'preprocessing_summary', 'No filter.'"""
+)
+def report_sections(spark, sf_dir):
+    """Sections of the report of a whole analysis without models, cut out of its Markdown."""
+    made = pipe.analyze(embedding_signals(spark, sf_dir), pipe.PipelineConfig(run_modeling=False))
+    wanted = {"Dataset Overview": "dataset_overview", "Preprocessing": "preprocessing_summary"}
+    parts = [p.partition("\n\n") for p in made.markdown.split("\n## ")[1:]]
+    return spark.createDataFrame([(wanted[h], t.strip()) for h, _, t in parts if h in wanted], "section string, text string")
+
+
+@query(
+    """WITH g AS (SELECT vec_id % 7 AS g, CAST(label AS VARCHAR) AS label FROM embeddings WHERE label IS NOT NULL)
+    SELECT label, count(DISTINCT g) AS n_groups, count(*) AS n_rows FROM g GROUP BY label"""
+)
+def groups_per_label(spark, sf_dir):
+    """What a grouped split checks first: each label's groups."""
+    table = embedding_signals(spark, sf_dir).where("label is not null").select("label", (F.col("record_id") % 7).alias("source_name"))
+    return supervised.groups_per_label(table, "label", "source_name")
+
+
+@query(
+    f"""WITH {DFT}, levels AS (SELECT record_id, sum(weight * weight / CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END) FILTER (bin < 8) AS low,
+      sum(weight * weight / CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END) FILTER (bin >= 8 AND bin < 20) AS mid FROM bins GROUP BY record_id)
+    SELECT 'low' AS band, round(avg(low), 6) + 0.0 AS mean_energy FROM levels UNION ALL SELECT 'mid', round(avg(mid), 6) + 0.0 FROM levels"""
+)
+def band_means(spark, sf_dir):
+    """Mean energy of each band over all records."""
+    made = feats.extract_features(embedding_signals(spark, sf_dir), feats.FeatureConfig(_bands()[:2], 0.25, 0.125))
+    return rounded(feats.band_means(made))

@@ -92,9 +92,13 @@ def _pick(kind, section: dict | None, **convert):
 
 
 def load_config(path: str | Path) -> Project:
+    return parse_config(Path(path).read_text())
+
+
+def parse_config(text: str) -> Project:
     import yaml
 
-    raw = yaml.safe_load(Path(path).read_text()) or {}
+    raw = yaml.safe_load(text) or {}
     if not isinstance(raw, dict):
         raise ValueError("The configuration must be a mapping.")
     bands = lambda v: {k: tuple(map(float, x)) for k, x in v.items()} if v else dict(DEFAULT_BANDS)

@@ -40,9 +40,17 @@ def load_signals(
 
     Numbers come from the names alone, so no samples meet in one task.  A file that cannot be decoded gives a row without values whose ``status`` says why.
     """
-    ship(spark)
     glob = "{" + ",".join(patterns) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return decode_files(files, sampling_rate_hz, signal_column, label_column, label, split_channels, channel)
+
+
+def decode_files(
+    files: DataFrame, sampling_rate_hz: float | None = None, signal_column: str | None = None, label_column: str | None = None,
+    label: str | None = None, split_channels: bool = False, channel: int | None = None,
+) -> DataFrame:
+    """Records of ``files(path, content)``, wherever their bytes come from; the suffix says how they are read."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,6 +79,11 @@ def load_dataset(
         spark, config.paths.data_dir, tuple(config.loading.file_patterns), config.loading.sampling_rate_hz,
         config.loading.signal_column, config.loading.label_column, split_channels=split_channels,
     )
+    return label_records(rows, metadata, labels_by_name)
+
+
+def label_records(rows: DataFrame, metadata: DataFrame | None = None, labels_by_name: dict[str, str] | None = None) -> DataFrame:
+    """``rows`` with the labels that ``labels_by_name`` and then ``metadata`` have for those without one."""
     named = {k: v for k, v in (labels_by_name or {}).items() if v}
     if named:
         mapping = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
