@@ -1,12 +1,13 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
-Vectors of one label are dealt into shards of bounded size; each shard gets a
-layered graph whose links are the diverse nearest neighbours of every vector
-(Malkov and Yashunin).  Every vector of the label queries every shard: it descends
-the layers greedily and widens its beam on the lowest one until no vector above
-the threshold lies at the beam's edge; brute force audits a sample of every block
-of queries and the beam is doubled until the audit finds no more than the graph
-did.  Cosines are then computed in double precision.  Equal vectors are one class.
+Vectors of one label are dealt into shards of bounded size; each shard gets a layered
+graph (Malkov and Yashunin).  Vectors are inserted batch by batch: a batch searches the
+graph as it stands, every vector is linked to diverse ones of those that its search
+met, and these link back.  Every vector of the label queries every shard: it descends
+the layers greedily and walks the lowest one with a beam.  Where a beam holds nothing
+but hits, the hits' neighbours are followed until they give no more.  Brute force audits
+a sample of every block of queries, and the beam is doubled until the audit is content.
+Cosines are then computed in double precision.  Equal vectors are one class.
 """
 
 from __future__ import annotations
@@ -18,15 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.workspace import Workspace, components
+from sigloom.llm.workspace import Workspace, components, hot_join
 
 COSINE = 0.93
 SHARD = 8192  # vectors of a graph at most, about
-BLOCK = 2048  # queries of a task's block at most, about
-LINKS = 16  # neighbours on upper layers; twice as many on the lowest
+BLOCK = 16_384  # queries of a task's block at most, about
+LINKS = 8  # of a vector to others on upper layers, and as many back; twice as many on the lowest
+POOL = 24  # nearest vectors met that links are chosen from
+BUILD_BEAM = 32
 BEAM = 32
-AUDIT = 64  # queries of a block that are audited by brute force
-AUDIT_RECALL = 0.99
+BATCH = 512
+AUDIT = 128  # queries of a block that are audited by brute force
+AUDIT_RECALL = 0.99  # share of the planted partners that must be found; of the sampled queries' own all must be
+SLACK = 1e-5  # of single precision, which leads the walks
 
 
 class Graph:
@@ -35,62 +40,80 @@ class Graph:
     def __init__(self, unit: np.ndarray, seed: int = 0):
         n = len(unit)
         self.unit = unit
-        self.coarse = unit.astype(np.float32)  # what walks are led by; hits are verified in double precision
+        self.coarse = unit.astype(np.float32)
         rng = np.random.default_rng(seed)
-        level = np.minimum((-np.log(rng.random(n)) / np.log(LINKS)).astype(np.int64), 6)
-        if n:
-            level[int(np.argmax(level))] = max(1, int(level.max()))
-        self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # (nodes, neighbour table by place among all vectors)
-        for depth in range(int(level.max()) + 1 if n else 0):
-            nodes = np.flatnonzero(level >= depth)
-            self.layers.append((nodes, self._link(nodes, 2 * LINKS if depth == 0 else LINKS)))
+        level = np.minimum((-np.log(rng.random(n)) / np.log(2 * LINKS)).astype(np.int64), 6)
+        self.layers: list[np.ndarray] = []  # from the top: neighbours by vector (-1: none), own links first, links back behind
         self.entry = int(np.argmax(level)) if n else -1
+        for depth in range(int(level.max()) if n else -1, -1, -1):
+            nodes = np.flatnonzero(level >= depth)
+            nodes = np.concatenate([[self.entry], rng.permutation(nodes[nodes != self.entry])])
+            self.layers.append(self._insert(nodes, 2 * LINKS if depth == 0 else LINKS))
 
-    def _link(self, nodes: np.ndarray, most: int) -> np.ndarray:
-        """For every vector a row of neighbours (-1: none); rows of other vectors stay empty."""
-        table = np.full((len(self.unit), 2 * most), -1, np.int64)
-        own = self.unit[nodes]
-        pool = min(3 * most, len(nodes) - 1)
-        if pool < 1:
-            return table
-        back: list[list[int]] = [[] for _ in range(len(self.unit))]
-        for a in range(0, len(nodes), 512):
-            near = own[a : a + 512] @ own.T
-            near[np.arange(len(near)), a + np.arange(len(near))] = -np.inf
-            order = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
-            order = np.take_along_axis(order, np.argsort(-np.take_along_axis(near, order, 1), axis=1, kind="stable"), 1)
-            for i, candidates in enumerate(order):
-                among = own[candidates] @ own[candidates].T
-                towards = near[i, candidates]
-                kept: list[int] = []
-                # a neighbour is kept if it is nearer to the vector than to all kept before it
-                open_ = np.ones(pool, bool)
-                for j in range(pool):
-                    if open_[j]:
-                        kept.append(j)
-                        if len(kept) == most:
-                            break
-                        open_ &= among[j] < towards
-                have = set(kept)
-                rest = [j for j in range(pool) if j not in have][: most - len(kept)]
-                chosen = candidates[kept + rest]
-                table[nodes[a + i], : len(chosen)] = nodes[chosen]
-                for c in nodes[chosen].tolist():
-                    back[c].append(int(nodes[a + i]))
-        for i in nodes.tolist():
-            taken = set(table[i, :most].tolist())
-            extra = [j for j in back[i] if j not in taken][:most]
-            table[i, most : most + len(extra)] = extra
+    def _insert(self, nodes: np.ndarray, most: int) -> np.ndarray:
+        table = np.full((len(self.unit), 2 * most), -1, np.int32)
+        done = 1
+        while done < len(nodes):
+            batch = nodes[done : done + min(BATCH, done)]  # no more than the graph has to be searched
+            met, score = self._walk(table, self.coarse[batch], self._descend(self.coarse[batch]), BUILD_BEAM)
+            among = self.coarse[batch] @ self.coarse[batch].T
+            np.fill_diagonal(among, -np.inf)
+            near = np.argsort(-among, axis=1, kind="stable")[:, :POOL]
+            met = np.concatenate([met, batch[near]], axis=1)
+            score = np.concatenate([score, np.take_along_axis(among, near, 1)], axis=1)
+            score[met < 0] = -np.inf
+            chosen, value = self._diverse(met, score, most)
+            table[batch, :most] = chosen
+            self._link_back(table, batch, chosen, value, most)
+            done += len(batch)
         return table
 
-    def search(self, queries: np.ndarray, beam: int, threshold: float) -> list[np.ndarray]:
-        """For each query the vectors with a cosine of at least ``threshold`` that its beam met."""
-        queries, threshold = queries.astype(np.float32), threshold - 1e-5
-        at = np.full(len(queries), self.entry)
-        rows = np.arange(len(queries))
-        for nodes, table in reversed(self.layers[1:]):
-            best = np.einsum("ij,ij->i", queries, self.coarse[at])
-            for _ in range(len(nodes)):
+    def _diverse(self, ids: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row's candidates those that are nearer to it than to any chosen before, then the nearest others."""
+        order = np.argsort(-score, axis=1, kind="stable")[:, :POOL]
+        ids, score = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+        valid = score > -np.inf
+        v = self.coarse[np.maximum(ids, 0)]
+        among = np.matmul(v, v.transpose(0, 2, 1))
+        open_, kept = valid.copy(), np.zeros(ids.shape, bool)
+        for j in range(ids.shape[1]):
+            take = open_[:, j]
+            kept[:, j] = take
+            open_ &= ~take[:, None] | (among[:, j] < score)
+        rank = np.where(kept, 0, 1) * POOL + np.arange(ids.shape[1])[None, :] + np.where(valid, 0, 4 * POOL)
+        first = np.argsort(rank, axis=1, kind="stable")[:, :most]
+        fits = np.take_along_axis(valid, first, 1)
+        chosen = np.where(fits, np.take_along_axis(ids, first, 1), -1)
+        value = np.where(fits, np.take_along_axis(score, first, 1), -np.inf)
+        if chosen.shape[1] < most:
+            pad = ((0, 0), (0, most - chosen.shape[1]))
+            chosen, value = np.pad(chosen, pad, constant_values=-1), np.pad(value, pad, constant_values=-np.inf)
+        return chosen, value
+
+    def _link_back(self, table: np.ndarray, batch: np.ndarray, chosen: np.ndarray, value: np.ndarray, most: int) -> None:
+        ok = chosen >= 0
+        target, source, score = chosen[ok], np.repeat(batch, ok.sum(axis=1)), value[ok]
+        order = np.lexsort((source, -score, target))
+        target, source, score = target[order], source[order], score[order]
+        own, head = np.unique(target, return_index=True)
+        place = np.arange(len(target)) - np.repeat(head, np.diff(np.append(head, len(target))))
+        few = place < POOL  # the nearest of a batch that link to one vector
+        row = np.searchsorted(own, target)
+        ids = np.full((len(own), most + POOL), -1, np.int64)
+        near = np.full(ids.shape, -np.inf, np.float32)
+        ids[:, :most] = table[own, most:]
+        near[:, :most] = np.where(ids[:, :most] >= 0, np.einsum("ij,ikj->ik", self.coarse[own], self.coarse[np.maximum(ids[:, :most], 0)]), -np.inf)
+        ids[row[few], most + place[few]] = source[few]
+        near[row[few], most + place[few]] = score[few]
+        near[(ids[:, :, None] == table[own, None, :most]).any(axis=2)] = -np.inf  # a link is one way or the other
+        table[own, most:] = self._diverse(ids, near, most)[0]
+
+    def _descend(self, queries: np.ndarray) -> np.ndarray:
+        """Where each query's greedy walk through the layers built so far, but for the lowest, ends."""
+        at, rows = np.full(len(queries), self.entry), np.arange(len(queries))
+        best = np.einsum("ij,ij->i", queries, self.coarse[at])
+        for table in self.layers[: 7 if self.depth is None else self.depth]:
+            while True:
                 near = table[at]
                 score = np.where(near >= 0, np.einsum("ij,ikj->ik", queries, self.coarse[near]), -np.inf)
                 top = score.argmax(axis=1)
@@ -99,13 +122,13 @@ class Graph:
                     break
                 at = np.where(better, near[rows, top], at)
                 best = np.where(better, score[rows, top], best)
-        return self._lowest(queries, at, beam, threshold)
+        return at
+
+    depth: int | None = None  # layers to descend through; all, while the graph is built
 
-    def _lowest(self, queries: np.ndarray, start: np.ndarray, beam: int, threshold: float) -> list[np.ndarray]:
-        """Beam search on the lowest layer, all queries in step: each opens its best closed vector
-        until its beam holds none.  A beam that is full of hits is too narrow: its query is asked
-        again with one four times as wide."""
-        n, table, count = len(self.unit), self.layers[0][1], len(queries)
+    def _walk(self, table: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, cosines) in each query's beam, all queries in step: each opens its best closed vector until it holds none."""
+        n, count = len(self.unit), len(queries)
         beam = min(beam, n)
         ids = np.full((count, beam), -1, np.int64)
         score = np.full((count, beam), -np.inf, np.float32)
@@ -132,38 +155,69 @@ class Graph:
             score[live] = np.take_along_axis(all_score, keep, 1)
             ids[live] = np.take_along_axis(np.concatenate([ids[live], near], axis=1), keep, 1)
             closed[live] = np.take_along_axis(np.concatenate([closed[live], new], axis=1), keep, 1)
-        hit = score >= threshold
-        out = [ids[i][hit[i]] for i in range(count)]
+        return np.where(score > -np.inf, ids, -1), score
+
+    def search(self, queries: np.ndarray, beam: int, threshold: float) -> tuple[list[np.ndarray], np.ndarray]:
+        """(for each query the vectors met with a cosine of at least ``threshold``, its beam)."""
+        queries, low = queries.astype(np.float32), threshold - SLACK
+        self.depth = len(self.layers) - 1
+        ids, score = self._walk(self.layers[-1], queries, self._descend(queries), beam)
+        hit = score >= low
+        out = [ids[i][hit[i]] for i in range(len(queries))]
         full = np.flatnonzero(hit.all(axis=1))
-        if beam < n and len(full) and 256 * beam >= n:
-            # comparing all of the shard costs less than the walk of the next beam
-            for i, cosine in zip(full.tolist(), queries[full] @ self.coarse.T):
-                out[i] = np.flatnonzero(cosine >= threshold)
-        elif beam < n and len(full):
-            for i, found in zip(full.tolist(), self._lowest(queries[full], start[full], 4 * beam, threshold)):
+        if len(full):
+            for i, found in zip(full.tolist(), self._follow(queries[full], [out[i] for i in full.tolist()], low)):
                 out[i] = found
-        return out
+        return out, ids
+
+    def _follow(self, queries: np.ndarray, hits: list[np.ndarray], low: float) -> list[np.ndarray]:
+        """All that the neighbours of hits lead to, for queries that share what they meet."""
+        table, seen = self.layers[-1], np.zeros(len(self.unit) + 1, bool)
+        met = np.unique(np.concatenate(hits))
+        found: list[list[np.ndarray]] = [[] for _ in hits]
+        while len(met):
+            seen[met] = True
+            good = queries @ self.coarse[met].T >= low
+            for i in range(len(found)):
+                found[i].append(met[good[i]])
+            met = np.unique(table[met[good.any(axis=0)]])
+            met = met[(met >= 0) & ~seen[met]]
+        return [np.concatenate(f) for f in found]
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors; the largest component is scaled to 1 first, so that no square overflows or vanishes."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def audited(graph: Graph, queries: np.ndarray, threshold: float, seed: int = 0) -> list[np.ndarray]:
-    """Search results after the beam has been widened until a brute-force audit is content."""
-    margin = threshold - 1e-9
-    chosen = np.random.default_rng(seed).permutation(len(queries))[:AUDIT]
-    truth = [np.flatnonzero(s >= margin) for s in queries[chosen] @ graph.unit.T]
-    total = sum(map(len, truth))
+    """Search results after the beam has been widened until a brute-force audit is content.
+
+    The audit asks for a sample of the queries, whose partners must all be found, and for
+    vectors made to lie just above the threshold from a sample of the shard's, so that
+    there is evidence where queries have no partner.
+    """
+    margin, rng = threshold - 1e-9, np.random.default_rng(seed)
+    chosen = queries[rng.permutation(len(queries))[:AUDIT]]
+    planted = graph.unit[rng.permutation(len(graph.unit))[:AUDIT]]
+    away = rng.normal(size=planted.shape)
+    away -= (away * planted).sum(axis=1, keepdims=True) * planted
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    t = min(threshold + 0.1 * (1 - threshold), 1.0)
+    planted = np.where(length > 1e-9, t * planted + (1 - t * t) ** 0.5 * away / np.maximum(length, 1e-9), planted)
+    asked = np.concatenate([chosen, planted])
+    truth = [np.flatnonzero(c >= margin) for c in asked @ graph.unit.T]
     beam = BEAM
-    while True:
-        hits = sum(len(np.intersect1d(t, f, assume_unique=True)) for t, f in zip(truth, graph.search(queries[chosen], beam, margin)))
-        if hits >= AUDIT_RECALL * total or beam >= len(graph.unit):
+    while beam < len(graph.unit):
+        found, _ = graph.search(asked, beam, margin)
+        lost = [int((~np.isin(w, f)).sum()) for w, f in zip(truth, found)]
+        if not sum(lost[: len(chosen)]) and sum(lost) <= (1 - AUDIT_RECALL) * sum(map(len, truth[len(chosen) :])):
             break
         beam *= 2
     out: list[np.ndarray] = []
     for a in range(0, len(queries), 256):
-        out += graph.search(queries[a : a + 256], beam, margin)
+        out += map(np.unique, graph.search(queries[a : a + 256], beam, margin)[0])
     return out
 
 
@@ -197,6 +251,7 @@ def _query_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i in range(batch.num_rows):
             graph = Graph.__new__(Graph)
             graph.unit, graph.layers, graph.entry = pickle.loads(batch.column("graph")[i].as_py())
+            graph.depth = len(graph.layers) - 1
             graph.coarse = graph.unit.astype(np.float32)
             ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
             copies = batch.column("copies")[i].values.to_numpy(zero_copy_only=False)
@@ -249,16 +304,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    digest = F.sha2(F.concat_ws(",", F.col("label"), F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
-    named = work.save(rows.withColumn("class", F.when(F.col("usable"), digest)), "rows")
-    classes = named.where("usable").groupBy("class").agg(
+    plain = F.transform("embedding", lambda x: x + F.lit(0.0))  # zeros of either sign are one
+    named = rows.select("vec_id", "label", "embedding", "usable", *[F.xxhash64(F.lit(k), "label", plain).alias(f"c{k}") for k in (1, 2)])
+    named = work.save(named, "rows")
+    classes = named.where("usable").groupBy("c1", "c2").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"), F.first("label").alias("label")
     )
     space = F.concat_ws("/", F.col("label"), F.size("embedding").cast("string"))
     classes = work.save(classes.withColumn("space", space), "classes")
     sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
-    dealt = classes.join(sizes, "space").withColumn("shard", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / SHARD))).withColumn(
-        "block", F.pmod(F.xxhash64(F.lit(1), "class"), F.ceil(F.col("n") / BLOCK))
+    dealt = classes.join(sizes, "space").withColumn("shard", F.pmod("c1", F.ceil(F.col("n") / SHARD))).withColumn(
+        "block", F.pmod("c2", F.ceil(F.col("n") / BLOCK))
     )
     graphs = work.save(
         dealt.select("space", "shard", "id", "copies", "embedding")
@@ -281,13 +337,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     # a doc with several classes (a repeated vec_id) joins them by its id
     groups = components(work, found.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst")))
-    out = classes.select("class", "id", "copies").join(counts, "id", "left").join(groups, "id", "left")
-    out = out.select("class", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    joined = named.select("vec_id", "class").join(out, "class", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return joined.select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+    out = classes.select("c1", "c2", "id", "copies").join(counts, "id", "left").join(groups, "id", "left")
+    out = out.select("c1", "c2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), "copies")
+    out = work.save(out, "found")
+    whole = named.where("usable").select("vec_id", "c1", "c2")
+    joined = hot_join(whole, out, ["c1", "c2"], "copies", whole.count()).select("vec_id", "n_links", "component_id")
+    alone = named.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return joined.unionByName(alone).select(
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )

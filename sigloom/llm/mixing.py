@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling, natively.
 
-Every document of a source first gets ``floor(target / source size)`` certain
-whole copies.  The remaining fraction f is the documents' inclusion probability
-for one more copy; they are ranked by the Pareto order variable
-``(u / (1 - u)) / (f / (1 - f))`` with u a fixed hash of the document, and taken
-in that order while the source's remaining words hold them (the sample's size is
-fixed in words, the unit of the targets); the last place goes to the document
+Every document of a source first gets ``floor(target / source size)`` certain whole
+copies.  What is left of the target is drawn as one more copy of some documents, with
+inclusion probabilities in proportion to their sizes, ``p = min(1, c * size)``, where
+``c`` makes the expected words those that are left.  Documents are ranked by the Pareto
+order variable ``(u / (1 - u)) / (p / (1 - p))`` with u a fixed hash of the document,
+and taken in that order while the source's remaining words hold them (the sample's
+size is fixed in words, the unit of the targets); the last place goes to the document
 whose size comes nearest to what is left.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sigloom.llm.workspace import Workspace
+from sigloom.workspace import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -24,8 +25,8 @@ BUCKETS = 1 << 16
 
 
 def uniform(key: Column, seed: str = "") -> Column:
-    """A fixed pseudo-random number in (0, 1) for a key."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")))), 1, 12)
+    """A fixed pseudo-random number in (0, 1) for a text."""
+    digits = F.substring(F.md5(F.concat(F.lit(seed), key).cast("binary")), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**12))
 
 
@@ -72,54 +73,57 @@ def mix(
 
     Returns doc_id, source, size, source_size, target, copies and taken
     (``copies * size``).  Null texts and texts without words have size 0 and are
-    taken 0 times; a null source is a source of its own, last in order; equal rows
-    are separate documents; null ids are allowed.  Other columns are ignored and
-    an empty table gives an empty one.  Reruns agree: the only randomness is a
-    hash of doc_id, with size as the tie-break.
-
-    The order within a source is a cumulative sum over 65,536 equal slices of u,
-    aggregated before any shuffle; only the one slice in which a source's words
-    run out is ranked row by row.
+    taken 0 times; a null source is a source of its own, last in order; null and
+    repeated ids are allowed.  Equal rows are separate documents that are told apart
+    by their number among each other, so that each has a place of its own in the
+    order.  Other columns are ignored and an empty table gives an empty one.  Reruns
+    agree: the only randomness is a hash of doc_id, text and that number.
+
+    The order within a source is a cumulative sum over 65,536 slices of it,
+    aggregated before any shuffle; only the one slice in which a source's words run
+    out is ranked row by row.
     """
     work = Workspace(docs.sparkSession, "mix")
+    body = F.coalesce(F.col(text), F.lit(""))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    u = uniform(F.col("doc_id"), seed)
-    base = work.save(
-        docs.select("doc_id", "source", size.alias("size"), u.alias("u")).withColumn(
-            "slice", F.least((F.col("u") * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
-        ),
-        "sizes",
-    )
-    slices = base.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    slices = work.save(slices, "slices")
-    totals = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
+    sized = work.save(docs.select("doc_id", "source", size.alias("size"), F.md5(body.cast("binary")).alias("digest")), "sizes")
+    sized = _numbered(sized, work)
+    u = uniform(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest", "number"), seed)
+    kinds = work.save(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    words = (F.col("n") * F.col("size")).cast("decimal(38,0)")
+    totals = kinds.groupBy("source").agg(F.sum(words).cast("long").alias("source_size"))
     targets = source_targets(totals, weights, max_repeat)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = targets.withColumn("certain", F.least(whole, F.lit(max_repeat)).cast("long")).withColumn(
         "extra", F.col("target") - F.col("certain") * F.col("source_size")
     )
     targets = work.save(targets.withColumn("source_key", _key("source")), "targets")
+    targets = work.save(targets.drop("source").join(_scales(kinds, targets), "source_key", "left"), "scaled")
+    rows = sized.withColumn("source_key", _key("source"))
+    rows = rows.join(F.broadcast(targets) if _few(targets) else targets, "source_key").withColumn("u", u)
+    p = F.least(F.lit(1.0), F.col("size") * F.coalesce("scale", F.lit(0.0)))
+    rows = rows.withColumn("order", pareto_order(F.col("u"), p))
+    # slices of the order's logarithm hold few rows each, whatever the probabilities are
+    place = F.when(F.col("order") == float("inf"), F.lit(1.0)).when(F.col("order") == 0, F.lit(0.0)).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log("order") + F.lit(40.0)) / F.lit(80.0)))
+    )
+    base = work.save(rows.drop("scale").withColumn("slice", F.least((place * BUCKETS).cast("int"), F.lit(BUCKETS - 1))), "ordered")
+    slices = base.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"))
     upto = W.partitionBy("source_key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     plan = (
-        slices.withColumn("source_key", _key("source"))
-        .withColumn("words_before", F.coalesce(F.sum("slice_size").over(upto), F.lit(0)))
-        .drop("source")
-        .join(targets.drop("source"), "source_key")
+        slices.withColumn("words_before", F.coalesce(F.sum("slice_size").over(upto), F.lit(0)))
+        .join(targets.select("source_key", "extra"), "source_key")
         .withColumn("left", F.col("extra") - F.col("words_before"))
         .where(F.col("slice_size") > F.col("left"))
     )
     # One row per source: the first slice that its extra words do not fill.
-    edge = plan.groupBy("source_key").agg(
-        F.min("slice").alias("edge_slice"), F.min_by("left", "slice").alias("edge_left")
-    )
-    per_source = targets.drop("source").join(edge, "source_key", "left")
-    rows = base.withColumn("source_key", _key("source")).join(F.broadcast(per_source) if _few(per_source) else per_source, "source_key")
-    # Slices before the edge are in; a source has no edge only if it has no words.
-    inside = F.coalesce(F.col("slice") < F.col("edge_slice"), F.lit(False))
-    odds = pareto_order(F.col("u"), F.when(F.col("source_size") > 0, F.col("extra") / F.col("source_size")))
-    rows = rows.withColumn("inside", inside).withColumn("order", odds)
-    at_edge = F.coalesce(F.col("slice") == F.col("edge_slice"), F.lit(False))
-    running = W.partitionBy("source_key").orderBy("order", "u", F.col("doc_id").asc_nulls_first(), "size")
+    edge = plan.groupBy("source_key").agg(F.min("slice").alias("edge_slice"), F.min_by("left", "slice").alias("edge_left"))
+    edge = work.save(edge, "edges")
+    rows = base.join(F.broadcast(edge) if _few(edge) else edge, "source_key", "left")
+    # Slices before the edge are in; a source has no edge only if its extra words take all.
+    rows = rows.withColumn("inside", F.coalesce(F.col("slice") < F.col("edge_slice"), F.col("edge_slice").isNull()))
+    at_edge = F.coalesce(F.col("slice") == F.col("edge_slice"), F.lit(False)) & (F.col("size") > 0)
+    running = W.partitionBy("source_key").orderBy(*_ORDER)
     ranked = (
         rows.where(at_edge)
         .withColumn("run", F.sum("size").over(running.rowsBetween(W.unboundedPreceding, 0)))
@@ -134,11 +138,13 @@ def mix(
     last = (
         open_rows.where(off < F.col("gap"))
         .groupBy("source_key")
-        .agg(F.min(F.struct(off.alias("off"), "order", "u", "doc_id", "size")).alias("x"))
-        .select("source_key", F.col("x.doc_id").alias("last_id"), F.col("x.u").alias("last_u"), F.col("x.size").alias("last_size"))
+        .agg(F.min(F.struct(off.alias("off"), *_ORDER[:4])).alias("x"))
+        .select("source_key", F.struct(*[F.col(f"x.{c}") for c in _ORDER[:4]]).alias("last"))
     )
     done = placed.join(F.broadcast(last) if _few(last) else last, "source_key", "left")
-    is_last = F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("u") == F.col("last_u")) & (F.col("size") == F.col("last_size"))
+    is_last = F.col("last").isNotNull()
+    for c in _ORDER[:4]:
+        is_last = is_last & F.col(c).eqNullSafe(F.col(f"last.{c}"))
     done = done.withColumn("inside", F.col("inside") | F.coalesce(is_last, F.lit(False)))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(
         F.least(F.col("certain") + F.col("inside").cast("long"), F.lit(max_repeat))
@@ -148,10 +154,64 @@ def mix(
     )
 
 
+#: The order within a source; the first four name a row, its source given.
+_ORDER = ["order", "doc_id", "digest", "number", "size"]
+
+
+def _numbered(sized: DataFrame, work: Workspace) -> DataFrame:
+    """``sized`` with each row's number among its equals, 0 for rows that have none.
+
+    Equal rows are numbered within the parts of the table that they stand in and the
+    parts' counts are added up, so that no group of copies meets in one task.
+    """
+    same = ["source", "doc_id", "digest"]
+    part = sized.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    counts = part.groupBy(*same, "part").agg(F.count(F.lit(1)).alias("n"))
+    many = counts.groupBy(*same).agg(F.sum("n").alias("all")).where("all > 1").select(*same)
+    many = work.save(many, "copies")
+    if many.isEmpty():
+        return sized.withColumn("number", F.lit(0).cast("long"))
+    tag = F.xxhash64(*same)
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*same).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    equal = _null_safe(counts, many, same).withColumn("before", before)
+    copied = _null_safe(part, equal.select(*same, "part", "before"), [*same, "part"])
+    inner = F.row_number().over(W.partitionBy(*same, "part").orderBy("at")) - 1
+    numbers = copied.select("at", (F.col("before") + inner).alias("number"), tag.alias("tag"))
+    out = part.join(numbers.select("at", "number"), "at", "left")
+    return work.save(out.select(*sized.columns, F.coalesce("number", F.lit(0).cast("long")).alias("number")), "numbered")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """``left`` joined with ``right`` on columns in which null is a value."""
+    other = right.withColumnsRenamed({c: f"other_{c}" for c in on})
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"other_{c}"))
+    return left.join(other, match).drop(*[f"other_{c}" for c in on])
+
+
+def _scales(kinds: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source_key, scale): c with ``sum of min(1, c * size) * size`` over a source's rows equal to its extra words.
+
+    Rows of the largest sizes are certain where c * size would exceed 1; the windows are
+    over a source's distinct sizes, not its documents.
+    """
+    sizes = kinds.where("size > 0").withColumn("source_key", _key("source")).join(targets.select("source_key", "extra"), "source_key")
+    words = (F.col("n") * F.col("size")).cast("decimal(38,0)")
+    square = words * F.col("size").cast("decimal(19,0)")
+    larger = W.partitionBy("source_key").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("source_key").orderBy("size").rowsBetween(W.unboundedPreceding, 0)
+    certain = F.coalesce(F.sum(words).over(larger), F.lit(0)).cast("double")
+    scale = (F.col("extra") - certain) / F.sum(square.cast("decimal(38,0)")).over(own).cast("double")
+    # sizes above this one are certain; that holds for the largest size that is not certain itself
+    tried = sizes.withColumn("scale", scale).where(F.col("scale") * F.col("size") < 1)
+    return tried.groupBy("source_key").agg(F.greatest(F.max_by("scale", "size"), F.lit(0.0)).alias("scale"))
+
+
 def pareto_order(u: Column, p: Column) -> Column:
-    """Random odds divided by inclusion odds; p outside (0, 1) keeps the random odds."""
+    """Random odds divided by inclusion odds: 0 for what is certain, infinite for what is never drawn."""
     odds = u / (F.lit(1.0) - u)
-    return F.when((p > 0) & (p < 1), odds / (p / (F.lit(1.0) - p))).otherwise(odds)
+    return F.when(p >= 1, F.lit(0.0)).when(p <= 0, F.lit(float("inf"))).otherwise(odds / (p / (F.lit(1.0) - p)))
 
 
 def _key(source: str) -> Column:

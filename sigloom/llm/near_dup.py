@@ -5,8 +5,8 @@ representatives walk down independent trees: a node branches by a few minwise
 tokens, and a class follows those that it has, so that classes of similarity s
 stay together at a level with probability 1 - (1 - s)**BRANCHES.  Small nodes
 are compared exhaustively; so are large ones in which all but a few members are
-already linked to one another.  What the trees propose is checked on full
-shingle sets, rebuilt from the texts.
+already linked to one another.  What the trees propose is checked on the full shingle sets
+of the texts' own words.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.words import MinHasher, jaccard_counts, mix64, shingle_hashes, slices, word_hashes
-from sigloom.llm.workspace import Workspace, components
+from sigloom.llm.words import MinHasher, link_forest, linked_pairs, mix64, shingle_hashes, slices, word_hashes
+from sigloom.llm.workspace import Workspace, components, hot_join, tidy
 
 SHINGLE = 5
 PERCENT = 75  # 100 * intersection >= PERCENT * union
@@ -37,6 +37,7 @@ DEEP_TOKENS, DEEP_BRANCHES = 3, 12
 #: Agreements of TOKENS below which a pair cannot matter: a pair at the threshold has fewer
 #: with a probability of 4e-6.
 AGREE = 32
+PART_BYTES = 2 << 20  # of text that pairs are compared in at once
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, tokens: int = TOKENS) -> DataFrame:
@@ -104,29 +105,20 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: i
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
     )
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, off in slices(column):
-            words, _, _, first = word_hashes(data, off)
-            for hashes in shingle_hashes(words, first, shingle):
-                yield np.unique(hashes)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_id, held = None, None
         for batch in batches:
-            step = 64
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            size = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(3)])
+            at = 0
+            while at < batch.num_rows:
+                # a part has some megabytes of text, or one pair
+                end = int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, "right"))
+                part = batch.slice(at, max(end - at, 1))
+                at += part.num_rows
+                # rows come sorted by a: its text is taken once for each run of rows
                 ids = part.column(0).to_pylist()
-                # rows come sorted by a: its set is built once for each run of rows
-                new = [i for i, x in enumerate(ids) if x != (ids[i - 1] if i else held_id)]
-                fresh = sets(part.column(2).take(pa.array(new, pa.int64()))) if new else iter(())
-                keep, starts = [], set(new)
-                for i, other in enumerate(sets(part.column(3))):
-                    if i in starts:
-                        held_id, held = ids[i], next(fresh)
-                    inter, union = jaccard_counts(held, other)
-                    keep.append(union > 0 and 100 * inter >= percent * union)
-                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                new = np.array([i == 0 or x != ids[i - 1] for i, x in enumerate(ids)])
+                firsts = part.column(2).take(pa.array(np.flatnonzero(new)))
+                yield part.select([0, 1]).filter(pa.array(linked_pairs(firsts, part.column(3), np.cumsum(new) - 1, percent, shingle)))
 
     kind = dict(docs.dtypes)["doc_id"]
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -152,12 +144,12 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     involved = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id")))
     involved = involved.unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
     docs = work.save(docs.select("doc_id", "text").join(involved, "doc_id"), "texts")
-    work.release()
+    tidy()
     stars = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     pending, depth = [candidates], 0
     first = stars.unionByName(_likely(_pivots(large, depth), reps)).distinct()
     edges = work.save(verify(first, docs).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
-    work.release()
+    tidy()
     labels = work.save(components(work, edges), "labels")
     while not large.isEmpty():
         depth += 1
@@ -165,16 +157,18 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
         fits = (F.col("size") <= NODE_MEMBERS) & (F.col("shingles") <= NODE_SHINGLES)
         exact = named.join(states.where(fits & F.col("first")).select("node"), "node")
         found = work.save(_compare_nodes(exact, reps, docs, work), "links")
-        work.release()
+        tidy()
         edges = work.save(edges.unionByName(found), "links")
         labels = work.save(components(work, edges), "labels")
         big = named.join(states.where(~fits & F.col("first")).select("node"), "node")
         if big.isEmpty():
             break
         if depth > DEPTH:
-            # tokens do not part these: list their unconnected pairs, however many
-            x, y = (big.select("node", F.col("id").alias(k), F.col("label").alias("l" + k)) for k in "ab")
-            pending.append(work.save(_likely(x.join(y, "node").where("a < b and la <> lb").select("a", "b").distinct(), reps), "pairs"))
+            # tokens do not part these: their members meet block by block, in tasks of bounded size
+            big = named.join(states.where(~fits & F.col("first")).select("node", "size", "shingles"), "node")
+            found = work.save(_compare_nodes(_blocks(big), reps, docs, work), "links")
+            edges = work.save(edges.unionByName(found), "links")
+            labels = work.save(components(work, edges), "labels")
             break
         children = big.select("node", "id").join(reps.select("id", "sig", "n"), "id").select("id", "n", F.explode(_deep_nodes()).alias("node"))
         nodes = work.save(_sized(children), "nodes")
@@ -184,17 +178,17 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
         if not more.isEmpty():
             more = verify(more, docs).select(F.col("a").alias("src"), F.col("b").alias("dst"))
             edges = work.save(edges.unionByName(more), "links")
-            work.release()
+            tidy()
             labels = work.save(components(work, edges), "labels")
     rest = pending[0]
     for more in pending[1:]:
         rest = rest.unionByName(more)
     rest = work.save(_cross(rest.distinct(), labels), "rest")
-    work.release()
+    tidy()
     if rest.isEmpty():
         return edges
     last = work.save(verify(rest, docs).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
-    work.release()
+    tidy()
     return edges.unionByName(last)
 
 
@@ -247,33 +241,19 @@ def _likely_members(table: pa.Table) -> pa.Table:
 
 def _link_members(table: pa.Table) -> pa.Table:
     """Exact comparison of all members of a node; a forest of links is returned."""
-    ids = table["id"].to_numpy()
-    own: list[np.ndarray] = []
-    for chunk in table["text"].chunks:
-        for _, _, data, off in slices(chunk):
-            words, _, _, first = word_hashes(data, off)
-            own += [np.unique(h) for h in shingle_hashes(words, first, SHINGLE)]
-    size = np.array([len(x) for x in own])
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    _, dense = np.unique(np.concatenate(own), return_inverse=True)
-    flag = np.zeros(dense.max() + 1, np.int32)
-    group = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
-    src, dst = [], []
-    for i in range(len(ids)):
-        mine = dense[starts[i] : starts[i] + size[i]]
-        flag[mine] = 1
-        inter = np.add.reduceat(flag[dense], starts)
-        flag[mine] = 0
-        hit = np.flatnonzero((100 * inter >= PERCENT * (size + size[i] - inter)) & (group != group[i]))
-        for j in hit.tolist():
-            if group[j] != group[i]:
-                group[group == group[j]] = group[i]
-                src.append(ids[i])
-                dst.append(ids[j])
-        if (group == group[i]).all():
-            break
     kind = table.schema.field("id").type
-    return pa.table({"src": pa.array(src, kind), "dst": pa.array(dst, kind)})
+    src, dst = link_forest(table["text"], table["label"].to_numpy(), PERCENT)
+    ids = table["id"].combine_chunks()
+    return pa.table({"src": ids.take(pa.array(src, pa.int64())).cast(kind), "dst": ids.take(pa.array(dst, pa.int64())).cast(kind)})
+
+
+def _blocks(big: DataFrame) -> DataFrame:
+    """``big(node, id, label, size, shingles)`` dealt to pairs of blocks of half a node's bounds each, so that all members meet."""
+    weight = F.greatest(F.col("size") / NODE_MEMBERS, F.col("shingles") / NODE_SHINGLES)
+    dealt = big.withColumn("blocks", F.ceil(2 * weight).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    return met.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "label")
 
 
 def _deep_nodes() -> Column:
@@ -329,7 +309,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = (
         sigs.where("doc_id is not null and n_shingles > 0")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
     )
     reps = work.save(reps, "classes")
     # a doc_id with several texts joins their classes
@@ -339,15 +319,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .join(reps.select("k1", "k2", "id"), ["k1", "k2"])
         .select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
     )
-    edges = link(reps, docs.where("doc_id is not null"), work).unionByName(twins)
+    edges = link(reps.drop("copies"), docs.where("doc_id is not null"), work).unionByName(twins)
     groups = components(work, edges)
     classes = (
-        reps.select("k1", "k2", "id")
+        reps.select("k1", "k2", "id", "copies")
         .join(groups, "id", "left")
-        .select("k1", "k2", F.coalesce("component_id", "id").alias("component_id"))
+        .select("k1", "k2", F.coalesce("component_id", "id").alias("component_id"), "copies")
     )
+    classes = work.save(classes, "components")
     body = sigs.select("doc_id", "n_shingles", "k1", "k2")
-    out = body.where("n_shingles > 0 and doc_id is not null").join(classes, ["k1", "k2"], "left")
+    full = body.where("n_shingles > 0 and doc_id is not null")
+    out = hot_join(full, classes, ["k1", "k2"], "copies", full.count())
     alone = body.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     return (
         out.unionByName(alone)

@@ -114,28 +114,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_L
 
     Only rows whose crc32(doc_id as text) mod 4 is not 2 and whose label is not
     null are learnt from.  Which of them are sampled is decided by a hash of
-    doc_id.  The sample's ids (bounded) go to the executors, its term counts
-    (bounded: DIMS numbers a row) come back.
+    doc_id; of documents that share a sampled id the first text in order counts, of
+    labels that share one the lower.  The sample's ids (bounded) go to the executors,
+    its term counts (bounded: DIMS numbers an id) come back.
     """
     ship(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(
         F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), 4) != 2)
-    )
+    ).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     shares = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     picked = None
     for value in (0, 1):
         part = usable.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_label)
         picked = part if picked is None else picked.unionByName(part)
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "quality", "text")
-        .mapInArrow(_sample_batches, "doc_id long, quality int, tf binary")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["tf"]))
-    del rows[2 * sample_per_label :]  # ids that stand in several rows
-    tf = np.stack([np.frombuffer(r["tf"], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIMS), np.float32)
+    named = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = named.mapInArrow(_sample_batches, f"doc_id {kind}, quality int, tf binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
+    tf = np.stack([np.frombuffer(r["tf"], np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32)
     y = np.array([r["quality"] for r in rows], np.float64)
     idf = np.log((1.0 + len(tf)) / (1.0 + (tf > 0).sum(axis=0))).astype(np.float32) + np.float32(1.0)
     weights = np.ones(len(y))
@@ -157,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_L
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tf = [np.minimum(row, 60000).astype(np.float16).tobytes() for block in count_blocks(batch.column(2)) for row in block]
+        tf = [row.tobytes() for block in count_blocks(batch.column(2)) for row in block]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tf, pa.binary())], ["doc_id", "quality", "tf"])
 
 
@@ -187,7 +183,11 @@ def classify(docs: DataFrame, model: Model, cut: float = CUT, id_column: str = "
 
 
 def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` that score at least ``cut``, with all their columns, in one pass."""
+    """The rows of ``docs`` that score at least ``cut``, with all their columns, in one pass.
+
+    Rows with null ids and repeated rows are judged each; a null text counts as empty;
+    columns of any name stay; an empty table gives an empty one.
+    """
     spark = ship(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")

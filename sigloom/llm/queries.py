@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from sigloom.llm import chat_format, decontaminate, embedding_dup, language, mixing, near_dup, paragraph_dup, quality, substrings, url_filter
+from sigloom.llm import pipeline as stages
 
 HARD_CHAT = r"\### Assistant: </turn> ok"
 
@@ -73,6 +73,23 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(_table(spark, sf_dir, "documents"))
 
 
+#: Every 200-byte string of every text, in hexadecimal so that bytes are cut and not characters.
+OP3_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS f FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS i FROM texts)),
+again AS (SELECT f FROM strings GROUP BY f HAVING count(*) > 1),
+starts AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true) AS new FROM strings WHERE f IN (FROM again)),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM starts) GROUP BY r, g),
+before AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS e FROM spans),
+kept AS (
+  SELECT r, count(*) AS n, sum(b - a) AS cut, max(b) AS last, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS front FROM before JOIN texts USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(cut, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE front || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -92,10 +109,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY source, doc_id, md5(coalesce(text, ''))) - 1 AS number
   FROM documents
-), totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+), drawn AS (
+  SELECT *, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || digest || '/' || number), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM sized
+), totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM drawn GROUP BY source),
 ranked AS (
   SELECT *, CAST([5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap FROM totals
 ), filled AS (
@@ -105,18 +124,27 @@ ranked AS (
 targets AS (
   SELECT source, source_size, CASE WHEN cap <= level * weight OR final IS NULL THEN cap ELSE final * weight END AS target FROM leveled
 ), planned AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS certain FROM targets
-), runs AS (
-  SELECT s.doc_id, s.size, s.u, t.source, source_size, target, certain, target - certain * source_size AS extra,
-         sum(s.size) OVER (PARTITION BY t.source ORDER BY s.u, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS run
-  FROM sized s JOIN planned t ON t.source IS NOT DISTINCT FROM s.source
-), gaps AS (
-  SELECT *, extra - coalesce(max(CASE WHEN run <= extra THEN run END) OVER (PARTITION BY source), 0) AS gap FROM runs
-), last AS (
-  SELECT *, row_number() OVER (PARTITION BY source, NOT (run > extra AND size > 0 AND abs(size - gap) < gap) ORDER BY abs(size - gap), u, doc_id, size) AS place FROM gaps
+  SELECT *, target - certain * source_size AS extra FROM (
+    SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS certain FROM targets)
+), kinds AS (
+  SELECT source, size, extra, count(*) AS n FROM drawn s JOIN planned t USING (source) WHERE size > 0 GROUP BY ALL
+  UNION ALL SELECT s.source, size, extra, count(*) FROM drawn s JOIN planned t ON s.source IS NULL AND t.source IS NULL WHERE size > 0 GROUP BY ALL
+), tried AS (
+  SELECT source, size, (extra - CAST(coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / CAST(sum(n * size * size) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS scale FROM kinds
+), scales AS (SELECT source, greatest(arg_max(scale, size), 0) AS scale FROM tried WHERE scale * size < 1 GROUP BY source),
+chances AS (
+  SELECT d.*, source_size, target, certain, extra, least(1, size * coalesce(scale, 0)) AS p
+  FROM drawn d JOIN planned t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN scales c ON c.source IS NOT DISTINCT FROM d.source
+), placed AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p <= 0 THEN 'inf'::DOUBLE ELSE u / (1 - u) / (p / (1 - p)) END AS place FROM chances),
+runs AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, digest, number ROWS UNBOUNDED PRECEDING) AS run FROM placed
+), gaps AS (SELECT *, extra - coalesce(max(CASE WHEN run <= extra THEN run END) OVER (PARTITION BY source), 0) AS gap FROM runs),
+last AS (
+  SELECT *, row_number() OVER (PARTITION BY source, NOT (run > extra AND size > 0 AND abs(size - gap) < gap) ORDER BY abs(size - gap), place, doc_id, digest, number) AS turn FROM gaps
 )
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-       CAST(size * least(certain + CASE WHEN run <= extra OR (size > 0 AND abs(size - gap) < gap AND place = 1) THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
+       CAST(size * least(certain + CASE WHEN run <= extra OR (size > 0 AND abs(size - gap) < gap AND turn = 1) THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
 FROM last
 """
 
@@ -149,7 +177,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -169,4 +197,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_minhash_near_dup": OP2_SQL, "op6_mixing": OP6_SQL, "op7_embedding_near_dup": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_minhash_near_dup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_embedding_near_dup": OP7_SQL}

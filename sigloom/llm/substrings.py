@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm.words import mix64, prefix_hash, slices, span_hash
-from sigloom.llm.workspace import Workspace
+from sigloom.llm.workspace import Workspace, fresh, keyed_rows, quoted, tidy
 
 LENGTH = 200
 WIDTH = 16
@@ -181,7 +181,7 @@ def repeated_starts(keyed: DataFrame, work: Workspace, length: int = LENGTH) ->
     again = groups.where("phrase <> 0").join(counted.hint("shuffle_hash"), "phrase").select("context", "k", "i")
     again = work.save(again.unionByName(groups.where("phrase = 0").select("context", "k", "i")), "repeated-phrases")
     work.drop(groups)
-    work.release()
+    tidy()
     contexts = (
         again.groupBy("context")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "i")).alias("first"))
@@ -197,32 +197,21 @@ def repeated_starts(keyed: DataFrame, work: Workspace, length: int = LENGTH) ->
     )
     marks = work.save(marks, "marks")
     work.drop(again)
-    work.release()
+    tidy()
     marked = keyed.join(marks, "k").select("k", "text", "marks")
     strings = work.save(_strings(marked, length), "strings")
-    work.release()
+    tidy()
     found = None
     for part in range(LOOKUPS):
         here = strings.where((F.col("kind") < 2) & (F.pmod("fp", F.lit(LOOKUPS)) == part))
         twice = here.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind")).where("n > 1 and kind = 0").select("fp")
         hit = work.save(here.where("kind = 0").select("fp", "k", "a").join(twice.hint("shuffle_hash"), "fp", "left_semi").select("k", "a", F.col("a").alias("b")), "found")
         found = hit if found is None else found.unionByName(hit)
-        work.release()
+        tidy()
     runs = strings.where("kind = 2").select("k", "a", "b").unionByName(found)
     return runs.groupBy("k").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("starts"))
 
 
-def keyed_rows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """docs with a key ``k``: the id where ids are unique and not null, else a hash of id and text."""
-    kind = dict(docs.dtypes)[id_column]
-    unique = False
-    if kind in ("bigint", "int", "smallint", "tinyint"):
-        seen = docs.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 or `{id_column}` is null")
-        unique = seen.isEmpty()
-    key = F.col(id_column).cast("long") if unique else F.xxhash64(F.lit(3), F.col(id_column), "text")
-    return docs.withColumn("k", key)
-
-
 def removed_spans(starts: list[int] | None, size: int, length: int) -> list[tuple[int, int]]:
     """Maximal byte spans covered by the strings that start in the runs of ``starts``."""
     if not starts:
@@ -236,11 +225,13 @@ def removed_spans(starts: list[int] | None, size: int, length: int) -> list[tupl
     return [(int(a), int(min(b, size))) for a, b in zip(begin[first], end[last])]
 
 
-def _join_starts(docs: DataFrame, work: Workspace, length: int) -> DataFrame:
-    keyed = keyed_rows(docs)
-    starts = work.save(repeated_starts(keyed.select("k", "text"), work, length), "starts")
-    work.release()
-    return keyed.join(starts, "k", "left").drop("k")
+def _join_starts(docs: DataFrame, work: Workspace, length: int) -> tuple[DataFrame, str]:
+    """``docs`` with the starts of repeated strings in a column whose name clashes with none, and that name."""
+    keyed, key = keyed_rows(docs, work)
+    name = fresh(keyed.columns, "repeated_starts")
+    starts = work.save(repeated_starts(keyed.select(F.col(key).alias("k"), "text"), work, length), "starts")
+    tidy()
+    return keyed.join(starts.select(F.col("k").alias(key), F.col("starts").alias(name)), key, "left").drop(key), name
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -255,7 +246,8 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     columns are ignored; an empty table gives an empty one.
     """
     work = Workspace(docs.sparkSession, "substrings")
-    joined = _join_starts(docs.select("doc_id", "text"), work, length).select("doc_id", "text", "starts")
+    joined, name = _join_starts(docs.select("doc_id", "text"), work, length)
+    joined = joined.select("doc_id", "text", name)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,14 +270,16 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``; all columns and rows stay.
 
     Where a cut splits a code point, the rest of that code point goes too, so that
-    the result is valid UTF-8.  Nulls stay null.
+    the result is valid UTF-8.  Nulls stay null.  Repeated rows are texts of their own,
+    each the other's copy; ids may be null or repeated; columns of any name stay; an
+    empty table gives an empty one.
     """
     work = Workspace(docs.sparkSession, "substrings")
     columns = docs.columns
-    joined = _join_starts(docs, work, length)
+    joined, name = _join_starts(docs, work, length)
     cut_text = _cutter(length)
-    cut = F.when(F.col("starts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut_text("text", "starts"))
-    return joined.withColumn("text", cut).select(*columns)
+    cut = F.when(F.col(name).isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut_text("text", name))
+    return joined.withColumn("text", cut).select(*[quoted(c) for c in columns])
 
 
 def _cutter(length: int):

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.workspace import Workspace
+from sigloom.llm.workspace import Workspace, hot_join
 
 ORDER = 5  # longest gram: four symbols of context and the symbol itself
 HOT = 1024  # grams with more than this part of all places are joined by broadcast, so at most as many
@@ -105,7 +105,8 @@ def fit(labelled: DataFrame, work: Workspace) -> DataFrame:
     """
     text = _text()
     grams = F.concat(*[_grams(text, n) for n in range(1, ORDER + 1)])
-    each = labelled.select(
+    # a url becomes hundreds of grams: a small table of urls is spread out first
+    each = _spread(labelled).select(
         F.explode(grams).alias("gram"),
         (F.col("verdict") == "allow").cast("long").alias("a"),
         (F.col("verdict") == "block").cast("long").alias("b"),
@@ -121,17 +122,22 @@ def fit(labelled: DataFrame, work: Workspace) -> DataFrame:
     shorter = None
     model = None
     for n in range(1, ORDER + 1):
-        level = counts.where(F.col("n") == n).join(contexts, "context")
+        level = counts.where(F.col("n") == n).join(contexts.hint("merge"), "context")
         if shorter is None:
             level = level.withColumn("pa0", F.lit(1.0 / ALPHABET)).withColumn("pb0", F.lit(1.0 / ALPHABET))
         else:
-            level = level.join(shorter.select(F.col("gram").alias("shorter"), F.col("pa").alias("pa0"), F.col("pb").alias("pb0")), "shorter")
+            level = level.join(shorter.select(F.col("gram").alias("shorter"), F.col("pa").alias("pa0"), F.col("pb").alias("pb0")).hint("merge"), "shorter")
         level = level.select("gram", _smoothed("a").alias("pa"), _smoothed("b").alias("pb"))
         shorter = level
         model = level if model is None else model.unionByName(level)
     return work.save(model.select("gram", (F.log("pa") - F.log("pb")).alias("ratio")), "model")
 
 
+def _spread(urls: DataFrame) -> DataFrame:
+    """``urls`` over as many tasks as the session shuffles to, by a hash."""
+    return urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
+
+
 def _smoothed(side: str) -> Column:
     return (F.col(side) + SMOOTHING * F.col(f"p{side}0")) / (F.col(f"context_{side}") + SMOOTHING)
 
@@ -145,18 +151,19 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     """
     work = Workspace(urls.sparkSession, "url-score")
     text = _text()
-    rows = urls.select("url", F.explode(F.transform(_places(text), lambda at: _ending(text, at, ORDER))).alias("run"))
+    rows = _spread(urls).select("url", F.explode(F.transform(_places(text), lambda at: _ending(text, at, ORDER))).alias("run"))
     runs = rows.groupBy("run").agg(F.count(F.lit(1)).alias("places"))
     for n in range(ORDER, 0, -1):
         # what is shorter than n has no such gram
         end = F.when(F.length("run") >= n, F.col("run").substr(F.length("run") - (n - 1), F.lit(n)))
         known = model.where(F.length("gram") == n).select(F.col("gram").alias(f"g{n}"), F.col("ratio").alias(f"r{n}"))
-        runs = runs.withColumn(f"g{n}", end).join(known, f"g{n}", "left")
+        runs = runs.withColumn(f"g{n}", end).join(known.hint("merge"), f"g{n}", "left")
     longest = F.coalesce(*[F.col(f"r{n}") for n in range(ORDER, 0, -1)], F.lit(0.0))
     runs = work.save(runs.select("run", "places", F.round(longest * UNIT).cast("long").alias("part")), "runs")
     hot = F.col("places") * HOT > F.lit(runs.agg(F.sum("places")).first()[0] or 0)
     often = F.broadcast(runs.where(hot).select("run", "part"))
-    parts = rows.join(often, "run").unionByName(rows.join(often, "run", "left_anti").join(runs.where(~hot).select("run", "part"), "run"))
+    rare = runs.where(~hot).select("run", "part").hint("merge")
+    parts = rows.join(often, "run").unionByName(rows.join(often, "run", "left_anti").join(rare, "run"))
     return parts.groupBy("url").agg((F.sum("part") / F.count(F.lit(1)) / UNIT).alias("score"))
 
 
@@ -167,7 +174,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     decides).  A null url or one without ``://`` has empty host and path and is
     judged by the model on what text it has; repeated rows and null ids all stay;
     other columns are ignored; an empty table gives an empty one.  Without ruled
-    urls of both verdicts the model knows nothing: every score is 0 and allowed.
+    urls of both verdicts to learn from the model knows nothing: every score is 0 and
+    allowed.  Without both among those kept for calibration the threshold is 0.
     """
     work = Workspace(pages.sparkSession, "urls")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -179,14 +187,20 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         .withColumn("rule", rule)
         .withColumn("rule_verdict", verdict)
     )
-    urls = ruled.groupBy("url").agg(F.first("rule_verdict").alias("verdict"))
+    urls = ruled.groupBy("url").agg(F.first("rule_verdict").alias("verdict"), F.count(F.lit(1)).alias("pages"))
     urls = work.save(urls.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(CALIBRATION_FOLDS))), "urls")
-    model = fit(urls.where("verdict is not null and fold <> 0"), work)
-    scores = work.save(score(urls.where("verdict is null or fold = 0"), model), "scores")
-    cut = threshold(urls.where("verdict is not null and fold = 0").join(scores, "url"))
-    free = ruled.where("rule_verdict is null").withColumn("url_key", F.coalesce(F.concat(F.lit("u"), "url"), F.lit("n")))
-    scores = scores.select(F.coalesce(F.concat(F.lit("u"), "url"), F.lit("n")).alias("url_key"), "score")
-    free = free.join(scores, "url_key", "left").drop("url_key")
+    learnt = urls.where("verdict is not null and fold <> 0")
+    free = ruled.where("rule_verdict is null")
+    if learnt.agg(F.count_distinct("verdict")).first()[0] < 2:
+        free, cut = free.withColumn("score", F.lit(0.0)), 0.0
+    else:
+        scores = work.save(score(urls.where("verdict is null or fold = 0"), fit(learnt, work)), "scores")
+        cut = threshold(urls.where("verdict is not null and fold = 0").join(scores, "url"))
+        key = F.coalesce(F.concat(F.lit("u"), "url"), F.lit("n"))
+        # a null url is scored as an empty text; scores name their url, null too
+        known = urls.where("verdict is null").select("url", "pages").withColumn("url_key", key).join(scores.select(key.alias("url_key"), "score"), "url_key")
+        known = work.save(known.select("url_key", "score", "pages"), "known")
+        free = hot_join(free.withColumn("url_key", key), known, ["url_key"], "pages", pages.count()).drop("url_key")
     by_model = F.when(F.col("score") >= F.lit(cut), F.lit("allow")).otherwise(F.lit("block"))
     out = free.withColumn("verdict", by_model).unionByName(
         ruled.where("rule_verdict is not null").withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.col("rule_verdict"))

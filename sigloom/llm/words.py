@@ -7,6 +7,7 @@ splitting agree.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _POWERS: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
 SLICE_BYTES = 1 << 20
+#: Sums of powers modulo 2**64 can agree for different texts of 1,024 bytes and more that are built
+#: alike (Thue-Morse words), so longer spans than this are hashed another way.
+LONG = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -104,7 +108,94 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first word of each row) of the lower-cased words."""
     s, e, first = word_spans(data, off)
-    return mix64(span_hash(prefix_hash(data), s, e)), s, e, first
+    out = mix64(span_hash(prefix_hash(data), s, e))
+    for i in np.flatnonzero(e - s > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(_LOWER[data[s[i] : e[i]]].tobytes(), digest_size=8).digest(), "little")
+    return out, s, e, first
+
+
+def exact_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, first word of each row): words have one number if and only if their lower-cased bytes agree."""
+    hashes, s, e, first = word_hashes(data, off)
+    low, size = _LOWER[data], e - s
+    _, head, number = np.unique(hashes, return_index=True, return_inverse=True)
+    other = s[head][number] if len(s) else s
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    if not len(s) or ((size == size[head][number]).all() and (low[np.repeat(s, size) + step] == low[np.repeat(other, size) + step]).all()):
+        return number.astype(np.int64), first
+    table: dict[bytes, int] = {}
+    return np.array([table.setdefault(low[a:b].tobytes(), len(table)) for a, b in zip(s.tolist(), e.tolist())], np.int64), first
+
+
+def exact_sets(data: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, first number of each row) of the rows' distinct k-word shingles, sorted within a row.
+
+    Shingles have one number if and only if their words agree; a row of 1 to k - 1 words
+    has its whole sequence as one, a row without words none.
+    """
+    words, first = exact_words(data, off)
+    count = np.diff(first)
+    many = np.where(count >= k, count - k + 1, np.minimum(count, 1))
+    row = np.repeat(np.arange(len(many)), many)
+    at = first[:-1][row] + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    span = int(words.max()) + 2 if len(words) else 2
+    padded = np.concatenate([words + 1, np.zeros(k, np.int64)])
+    code = padded[at]
+    for j in range(1, k):
+        word = np.where(at + j < first[1:][row], padded[np.minimum(at + j, len(padded) - 1)], 0)
+        code = np.unique(code * span + word, return_inverse=True)[1].astype(np.int64)
+    wide = int(code.max()) + 1 if len(code) else 1
+    each = np.unique(row * wide + code)
+    return each % wide, np.searchsorted(each // wide, np.arange(len(many) + 1))
+
+
+def whole_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of all rows of a text column at once."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
+    for _, _, data, off in slices(column.cast(pa.large_string()), 1 << 62):
+        return data, off
+    return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+
+def linked_pairs(a: pa.Array, b: pa.Array, which: np.ndarray, percent: int, k: int = 5) -> np.ndarray:
+    """Whether text ``b[i]`` and text ``a[which[i]]`` have 100 * intersection >= percent * union of their shingles."""
+    numbers, first = exact_sets(*whole_column(pa.chunked_array([a.cast(pa.large_string()), b.cast(pa.large_string())])), k)
+    out = np.zeros(len(b), bool)
+    for i in range(len(b)):
+        x, y = numbers[first[which[i]] : first[which[i] + 1]], numbers[first[len(a) + i] : first[len(a) + i + 1]]
+        inter, union = jaccard_counts(x, y)
+        out[i] = union > 0 and 100 * inter >= percent * union
+    return out
+
+
+def link_forest(column: pa.ChunkedArray, group: np.ndarray, percent: int, k: int = 5) -> tuple[list[int], list[int]]:
+    """A forest of (row, row) that joins the ``group``s of texts as all links among them do.
+
+    Each row meets only the rows that share one of its shingles, through an index of them.
+    """
+    numbers, first = exact_sets(*whole_column(column), k)
+    size = np.diff(first)
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(numbers, kind="stable")
+    holders = row[order]
+    start = np.searchsorted(numbers[order], np.arange(int(numbers.max()) + 2 if len(numbers) else 1))
+    group = np.unique(group, return_inverse=True)[1]
+    src, dst = [], []
+    for i in range(len(size)):
+        if (group == group[i]).all():
+            break
+        own = numbers[first[i] : first[i + 1]]
+        many = start[own + 1] - start[own]
+        met = holders[np.repeat(start[own], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+        inter = np.bincount(met, minlength=len(size))
+        hit = np.flatnonzero((inter > 0) & (100 * inter >= percent * (size + size[i] - inter)) & (group != group[i]))
+        for j in hit.tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                src.append(i)
+                dst.append(j)
+    return src, dst
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:

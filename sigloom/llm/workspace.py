@@ -1,143 +1,62 @@
-"""Shared-storage work tables and distributed connected components.
-
-Every intermediate that cuts lineage is a Parquet table below the folder that
-``spark.checkpoint.dir`` names, so any executor can be lost and any other can
-read it.  Only where that setting is absent (tests) is a local folder used.
-"""
+"""Work tables of the corpus operators, joins with frequent keys, reserved names and row keys."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.session import ship
-
-_LOCAL: dict[str, str] = {}
-_OPEN: list[Workspace] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if "root" not in _LOCAL:
-        _LOCAL["root"] = tempfile.mkdtemp(prefix="sigloom-")
-    return "file://" + _LOCAL["root"]
-
+from sigloom.workspace import HOT, Workspace, close_all, components, shared_root
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder through the Hadoop file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["HOT", "Workspace", "close_all", "components", "fresh", "hot_join", "keyed_rows", "shared_root", "tidy"]
+WHOLE = ("bigint", "int", "smallint", "tinyint")
 
 
-class Workspace:
-    """Named work tables of one operator call, removed when no result needs them."""
+def tidy() -> None:
+    """Let go of plans that nothing refers to any more, so that Spark removes their shuffle files.
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = ship(spark)
-        self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        self._count = 0
-        _OPEN.append(self)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table read back: a cut in the lineage."""
-        self._count += 1
-        path = f"{self.root}/{self._count:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._work_path = path
-        return out
-
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    Spark learns of it from its own collector only; without this the files of all
+    finished steps stay on the executors' disks.
+    """
+    gc.collect()
+    context = SparkContext._active_spark_context
+    if context is not None:
+        context._jvm.System.gc()
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove work tables that nothing reads any more."""
-        for table in tables:
-            path = getattr(table, "_work_path", None)
-            if path:
-                delete_path(self.spark, path)
 
-    def close(self) -> None:
-        """Remove every table of this workspace; results that read them end with it."""
-        delete_path(self.spark, self.root)
-        if self in _OPEN:
-            _OPEN.remove(self)
+def fresh(columns: list[str], base: str) -> str:
+    """``base`` or, where a column of that name exists (in any case), ``base`` with underscores before it."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
 
 
-def close_all() -> None:
-    """Remove the work tables of all finished calls; runs at interpreter exit too."""
-    for work in list(_OPEN):
-        try:
-            work.close()
-        except Exception:  # noqa: BLE001 - the session may be gone at interpreter exit
-            _OPEN.remove(work)
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` on columns unique there, where ``weight`` of ``table`` says
+    how many rows meet each of its rows.
 
+    What meets more than a HOT-th of ``total`` rows, at most HOT rows of the table, is
+    broadcast, so that one frequent key's rows do not meet in one task.
+    """
+    often = F.col(weight) * HOT > F.lit(total)
+    hot = F.broadcast(table.where(often).drop(weight))
+    rest = rows.join(hot, on, "left_anti").join(table.where(~often).drop(weight), on)
+    return rows.join(hot, on).unionByName(rest)
 
-atexit.register(close_all)
 
+def keyed_rows(docs: DataFrame, work: Workspace, id_column: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` with one key for each row, and the key's name: the id where ids are whole numbers,
+    unique and not null, else a number given once, in a table that is written for it."""
+    name = fresh(docs.columns, "row_key")
+    if dict(docs.dtypes)[id_column] in WHOLE:
+        seen = docs.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").__gt__(1) | F.col(id_column).isNull())
+        if seen.isEmpty():
+            return docs.withColumn(name, F.col(id_column).cast("long")), name
+    return work.save(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
-def components(work: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(src, dst)`` by alternating star contraction.
 
-    Returns ``(id, component_id)`` for every vertex of an edge, where
-    ``component_id`` is the smallest vertex reachable.  Each round is two
-    aggregations with map-side combine and two joins; hubs meet only as partial
-    minima.  Null ends and loops are ignored.  An empty input gives no rows.
-    """
-    cur = work.save(
-        edges.where("src is not null and dst is not null and src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct(),
-        "cc",
-    )
-    for _ in range(max_rounds):
-        both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: every larger neighbour of u points to the least of u's neighbourhood
-        large = (
-            both.where("v > u")
-            .join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        large = work.save(large, "cc-large")
-        # small star: the smaller neighbours of u and u itself point to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = (
-            small.where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        new = work.save(small, "cc-small")
-        same = _digest(new) == _digest(cur)
-        work.drop(cur, large)
-        cur = new
-        if same:
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = cur.groupBy("v").agg(F.first("v").alias("r")).select(F.col("v").alias("id"), F.col("r").alias("component_id"))
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)
-
-
-def _digest(df: DataFrame) -> tuple:
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        F.sum(F.col("v").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return (row["n"], row["h"], row["s"])
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
