@@ -1,76 +1,5 @@
-"""The corpus pipeline: quality, near-duplicates, substrings, benchmark, mixing.
+"""The corpus pipeline's stages; each is written and read again by the next."""
 
-Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
-written as Parquet and read again as the next stage's documents.
-"""
+from sigloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sigloom.llm import decontaminate, mixing, near_dup, quality, substrings
-from sigloom.llm.workspace import Workspace
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as 1; all columns stay."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.accepted(docs, model)
-
-
-def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each near-duplicate group; all rows without doc_id.
-
-    Rows that share a doc_id are documents of their own here, in the order of their
-    texts: they go only where their texts are linked.
-    """
-    if not _repeats(docs):
-        kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    # the row's number in the order of doc_id stands for it
-    named = docs.where("doc_id is not null").orderBy("doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns))
-    rows = Workspace(spark, "pipeline-rows").save(named.withColumn("row_key", F.monotonically_increasing_id()), "rows")
-    kept = near_dup.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text")).where("kept")
-    chosen = rows.join(kept.select(F.col("doc_id").alias("row_key")), "row_key", "left_semi")
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id repeats or is null."""
-    return not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-
-
-def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 200 bytes and more that repeat; n_chars is recounted."""
-    return substrings.remove(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
-
-
-def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: doc_id, source, size, source_size, target, copies, taken."""
-    return mixing.mix(docs)
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_dup", near_dup_stage),
-    ("substrings", substring_stage),
-    ("benchmark", benchmark_stage),
-    ("mixing", mixing_stage),
-]
-#: SQL can express neither the classifier nor the hashes of the mix.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again by the next."""
-    work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = work.save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
