@@ -302,34 +302,6 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
     return build(samples)
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``sample_rows`` rows of each language, chosen by a hash of doc_id.
-
-    Only rows with text, a non-null lang and crc32(doc_id as text) mod 5 other
-    than 0 are learnt from.  Rows of each language are counted over all data; the
-    rows whose hash lies in the sampled share come to the driver, cut to the
-    characters a language may give.
-    """
-    usable = docs.select("doc_id", "text", "lang").where(
-        "lang is not null and text is not null and text <> ''"
-    ).where(fold(F.col("doc_id"), 5) != 0)
-    seen = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not seen:
-        return build({})
-    span = 1 << 30
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(span))
-    share = None
-    for lang, n in sorted(seen.items()):
-        limit = span if n <= sample_rows else max(1, int(span * sample_rows / n))
-        here = (F.col("lang") == lang) & (rank < limit)
-        share = here if share is None else share | here
-    rows = usable.where(share).select("lang", rank.alias("rank"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return build(samples)
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Language of every row of ``docs(doc_id, text)``: doc_id, lang_pred and score.
 
