@@ -283,15 +283,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
     usable = docs.select("doc_id", "text", "lang").where(
         "lang is not null and text is not null and text <> ''"
     ).where(fold(F.col("doc_id"), 5) != 0)
-    fits = F.length("text") <= sample_chars
-    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(fits, 1)).alias("short"), F.min(F.length("text")).alias("least"))
+    fits, rank = F.length("text") <= sample_chars, F.xxhash64("doc_id", "text")
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(fits, rank)).alias("short"), F.min(F.length("text")).alias("least"))
     seen = counted.orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not seen:
         return build({})
     span = 1 << 30
-    rank = F.xxhash64("doc_id", "text")
     facts = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["short"], r["least"]) for r in seen], "lang string, short long, least int"))
-    # about four times the rows that are needed pass, then the first by rank
+    # of the different rows about four times those that are needed pass, then the first by rank
     share = F.least(F.lit(span), F.ceil(F.lit(float(4 * sample_rows * span)) / F.greatest("short", F.lit(1))))
     near = usable.join(facts, "lang").where(F.when(F.col("short") > 0, fits & (F.pmod(rank, F.lit(span)) < share)).otherwise(F.length("text") == F.col("least")))
     distinct = near.groupBy("lang", rank.alias("rank")).agg(F.min("text").alias("text"))
