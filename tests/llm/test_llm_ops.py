@@ -416,7 +416,7 @@ def test_cuts_follow_the_words_alone():
             lead = len(left.split())
             cuts.append({s - lead for s in start.tolist() if s - lead > paragraph_dup.RADIUS})
     assert cuts[0] == cuts[1] and cuts[0]
-    assert paragraph_dup.bands(0.75, 0.98) == 3
+    assert paragraph_dup.bands(0.98) == 3 and paragraph_dup.bands(0.93) == 2
 
 
 def test_near_copies_of_lines_are_found_and_short_lines_left(spark):
