@@ -27,6 +27,7 @@ SLICE_BYTES = 1 << 20
 #: Sums of powers modulo 2**64 can agree for different texts of 1,024 bytes and more that are built
 #: alike (Thue-Morse words), so longer spans than this are hashed another way.
 LONG = 256
+DENSE = 4_000_000  # cells of a table of rows and shingles up to which it is filled
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -140,10 +141,14 @@ def exact_sets(data: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarra
     at = first[:-1][row] + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     span = int(words.max()) + 2 if len(words) else 2
     padded = np.concatenate([words + 1, np.zeros(k, np.int64)])
-    code = padded[at]
+    code, room = padded[at], span
     for j in range(1, k):
-        word = np.where(at + j < first[1:][row], padded[np.minimum(at + j, len(padded) - 1)], 0)
-        code = np.unique(code * span + word, return_inverse=True)[1].astype(np.int64)
+        if room * span >= 1 << 62:  # renumber only where the packed words would not fit
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            room = len(code) + 1
+        code = code * span + np.where(at + j < first[1:][row], padded[np.minimum(at + j, len(padded) - 1)], 0)
+        room *= span
+    code = np.unique(code, return_inverse=True)[1].astype(np.int64)
     wide = int(code.max()) + 1 if len(code) else 1
     each = np.unique(row * wide + code)
     return each % wide, np.searchsorted(each // wide, np.arange(len(many) + 1))
@@ -161,18 +166,26 @@ def whole_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
 def linked_pairs(a: pa.Array, b: pa.Array, which: np.ndarray, percent: int, k: int = 5) -> np.ndarray:
     """Whether text ``b[i]`` and text ``a[which[i]]`` have 100 * intersection >= percent * union of their shingles."""
     numbers, first = exact_sets(*whole_column(pa.chunked_array([a.cast(pa.large_string()), b.cast(pa.large_string())])), k)
-    out = np.zeros(len(b), bool)
-    for i in range(len(b)):
-        x, y = numbers[first[which[i]] : first[which[i] + 1]], numbers[first[len(a) + i] : first[len(a) + i + 1]]
-        inter, union = jaccard_counts(x, y)
-        out[i] = union > 0 and 100 * inter >= percent * union
-    return out
+    wide, size = int(numbers.max()) + 1 if len(numbers) else 1, np.diff(first)
+    keys = []
+    for rows in (which, len(a) + np.arange(len(b))):
+        many = size[rows]
+        place = np.repeat(first[rows], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        keys.append(np.repeat(np.arange(len(rows)), many) * wide + numbers[place])  # sorted, pair by pair
+    x, y = keys
+    inter = np.zeros(len(b), np.int64)
+    if len(x) and len(y):
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        inter = np.bincount(x[y[at] == x] // wide, minlength=len(b))
+    union = size[which] + size[len(a) :] - inter
+    return (union > 0) & (100 * inter >= percent * union)
 
 
 def link_forest(column: pa.ChunkedArray, group: np.ndarray, percent: int, k: int = 5) -> tuple[list[int], list[int]]:
     """A forest of (row, row) that joins the ``group``s of texts as all links among them do.
 
-    Each row meets only the rows that share one of its shingles, through an index of them.
+    Intersections come from one product of the table of rows and shingles where that is
+    small; else each row meets the rows that share one of its shingles, through an index.
     """
     numbers, first = exact_sets(*whole_column(column), k)
     size = np.diff(first)
@@ -182,9 +195,23 @@ def link_forest(column: pa.ChunkedArray, group: np.ndarray, percent: int, k: int
     start = np.searchsorted(numbers[order], np.arange(int(numbers.max()) + 2 if len(numbers) else 1))
     group = np.unique(group, return_inverse=True)[1]
     src, dst = [], []
+    dense = len(size) * max(len(start), 1) <= DENSE
+    if dense:
+        holds = np.zeros((len(size), len(start)), np.float32)
+        holds[row, numbers] = 1
+        every = (holds @ holds.T).astype(np.int64)
     for i in range(len(size)):
         if (group == group[i]).all():
             break
+        if dense:
+            inter = every[i]
+            hit = np.flatnonzero((inter > 0) & (100 * inter >= percent * (size + size[i] - inter)) & (group != group[i]))
+            for j in hit.tolist():
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    src.append(i)
+                    dst.append(j)
+            continue
         own = numbers[first[i] : first[i + 1]]
         many = start[own + 1] - start[own]
         met = holders[np.repeat(start[own], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
