@@ -28,14 +28,14 @@ from sigloom.llm.words import mix64, slices, word_hashes
 from sigloom.session import ship
 
 SIMILARITY = 0.75
-RECALL = 0.99  # of items with the most edits that are allowed
+RECALL = 0.998  # of items with the most edits that are allowed
 STEPS = 12  # of a walk
 SPACING = 3  # one place is sampled in each run of this many steps, which reads a word or two
 WALKS = 32  # at most
 SAMPLED = ((8, 2), (14, 3))  # (n, places): items of fewer than n words sample so many places, longer ones FULL
 FULL = 4
 STARTS = 48  # places of an item that walks begin at, about, at most
-TRIALS = 400  # simulated items of a length
+TRIALS = 1000  # simulated items of a length
 ITEM_BYTES = 4_000_000  # items that go to the executors at once; more are searched for in blocks
 BITMAP = 22  # bits of a code that a first look checks
 CHUNK = 512
