@@ -84,6 +84,12 @@ class Walks:
         return {k: (code ^ (code >> np.uint64(29)), last) for k, (code, last) in out.items()}
 
 
+def simulated(n: int) -> int:
+    """The length that is simulated for items of n words: at most n, since more places only help."""
+    step = 1 if n <= 16 else 4 if n <= 32 else 8 if n <= 64 else 64
+    return min(n // step * step, 256)
+
+
 @lru_cache(maxsize=4096)
 def walks_for(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     """Walks with which simulated items of n words and all their allowed edits are found at ``recall``."""
@@ -167,8 +173,7 @@ def prepare(table: pa.Table, similarity: float = SIMILARITY, recall: float = REC
     for n, group in by_size.items():
         first, which = np.arange(len(group) + 1) * n, np.array(group)
         walks, k = Walks(np.concatenate([words[i] for i in group])), places_of(n)
-        # beyond the lengths that are simulated, more places only help
-        count = walks_for(n if n <= 64 else 64 * (n // 64 if n < 256 else 4), similarity, recall)
+        count = walks_for(simulated(n), similarity, recall)
         most = max(most, count)
         for walk in range(count):
             code, last = walks.codes(walk)[k]
