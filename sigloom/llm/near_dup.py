@@ -12,6 +12,7 @@ of the texts' own words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ DEEP_TOKENS, DEEP_BRANCHES = 3, 12
 #: Agreements of TOKENS below which a pair cannot matter: a pair at the threshold has fewer
 #: with a probability of 4e-6.
 AGREE = 32
+PARTS = 3  # in which texts are dealt out one after the other, to bound the disk
 PART_BYTES = 2 << 20  # of text that pairs are compared in at once
 
 
@@ -143,8 +145,12 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     # all later comparisons are among these; their texts are dealt out once
     involved = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id")))
     involved = involved.unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
-    docs = work.save(docs.select("doc_id", "text").join(involved, "doc_id"), "texts")
-    tidy()
+    involved, dealt = work.save(involved, "involved"), []
+    for part in range(PARTS):
+        here = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(PARTS)) == part)
+        dealt.append(work.save(here.select("doc_id", "text").join(involved, "doc_id"), "texts"))
+        tidy()
+    docs = reduce(DataFrame.unionByName, dealt)
     stars = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     pending, depth = [candidates], 0
     first = stars.unionByName(_likely(_pivots(large, depth), reps)).distinct()
