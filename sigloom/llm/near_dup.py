@@ -146,6 +146,7 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     involved = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id")))
     involved = involved.unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
     involved, dealt = work.save(involved, "involved"), []
+    tidy()
     for part in range(PARTS):
         here = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(PARTS)) == part)
         dealt.append(work.save(here.select("doc_id", "text").join(involved, "doc_id"), "texts"))
@@ -179,6 +180,7 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
         children = big.select("node", "id").join(reps.select("id", "sig", "n"), "id").select("id", "n", F.explode(_deep_nodes()).alias("node"))
         nodes = work.save(_sized(children), "nodes")
         pending.append(work.save(_likely(_cross(_leaf_pairs(nodes.where(F.col("size") <= LEAF)), labels), reps), "pairs"))
+        tidy()
         large = nodes.where(F.col("size") > LEAF)
         more = _cross(_likely(_pivots(large, depth), reps), labels)
         if not more.isEmpty():
@@ -186,6 +188,8 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
             edges = work.save(edges.unionByName(more), "links")
             tidy()
             labels = work.save(components(work, edges), "labels")
+        del more
+        tidy()
     rest = pending[0]
     for more in pending[1:]:
         rest = rest.unionByName(more)
@@ -229,6 +233,7 @@ def _compare_nodes(members: DataFrame, reps: DataFrame, docs: DataFrame, work: W
     sketched = members.select("node", "id", "label").join(reps.select("id", "n", "sig"), "id")
     likely = sketched.groupBy("node").applyInArrow(_likely_members, f"node long, id {kind}, label {kind}")
     likely = work.save(likely, "likely")
+    tidy()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(likely.select("id").distinct(), "id")
     return likely.join(texts, "id").select("node", "id", "label", "text").groupBy("node").applyInArrow(_link_members, f"src {kind}, dst {kind}")
 
