@@ -354,6 +354,22 @@ def test_paragraph_recall_against_brute_force(spark):
     assert sum(r["kept"] for r in got) == len(components)
 
 
+def test_no_paragraph_link_at_the_threshold_is_left_out(spark):
+    rng, rows = random.Random(31), []
+    for i in range(400):
+        text = prose(rng, 40, 50000).split()
+        near = list(text)
+        near[rng.randrange(4, 36)] = "changed"  # 36 shingles, 5 differ: 31 / 41 = .756
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
+    got = paragraph_dup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).where("start_word = 0").collect()
+    for unit in ("line", "window"):
+        joined = {}
+        for r in got:
+            if r["unit"] == unit:
+                joined.setdefault(r["component_id"], []).append(r["doc_id"])
+        assert sorted(map(sorted, joined.values())) == [[2 * i, 2 * i + 1] for i in range(400)]
+
+
 def test_lines_repeat_within_a_document_and_equal_rows_are_two(spark):
     rng = random.Random(12)
     line = prose(rng, 20)
