@@ -74,6 +74,15 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, tokens: int = TOKENS) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, k1 long, k2 long, sig array<int>")
 
 
+def _dealt(table: DataFrame) -> DataFrame:
+    """``table`` as a side of a join that grows with the input: both sides are dealt out at every size.
+
+    A broadcast that fits small inputs only would make their shuffles, and what is projected
+    from them, less than what large inputs need.
+    """
+    return table.hint("merge")
+
+
 def _agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
@@ -82,8 +91,8 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a < b) whose sizes allow the threshold and whose minwise tokens make it likely."""
     side = reps.select("id", "n", "sig")
     return (
-        pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-        .join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        pairs.join(_dealt(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))), "a")
+        .join(_dealt(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))), "b")
         .where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
         .where(_agreement(F.col("sa"), F.col("sb")) >= AGREE)
         .select("a", "b")
@@ -103,8 +112,8 @@ def _leaf_pairs(members: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of document ids that are linked by their full shingle sets."""
     texts = docs.select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
+    both = pairs.join(_dealt(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))), "b").join(
+        _dealt(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))), "a"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +137,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: i
 
 def _sized(members: DataFrame) -> DataFrame:
     """members with their node's size; nodes of one member are gone."""
-    return members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node")
+    return members.join(_dealt(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")), "node")
 
 
 def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
@@ -149,7 +158,7 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     tidy()
     for part in range(PARTS):
         here = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(PARTS)) == part)
-        dealt.append(work.save(here.select("doc_id", "text").join(involved, "doc_id"), "texts"))
+        dealt.append(work.save(here.select("doc_id", "text").join(_dealt(involved), "doc_id"), "texts"))
         tidy()
     docs = reduce(DataFrame.unionByName, dealt)
     stars = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -208,7 +217,7 @@ def _states(large: DataFrame, labels: DataFrame, work: Workspace) -> tuple[DataF
     ``first`` marks one of the nodes that have the same members.
     """
     named = work.save(
-        large.join(labels.select("id", "component_id"), "id", "left").select("node", "id", "n", F.coalesce("component_id", "id").alias("label")),
+        large.join(_dealt(labels.select("id", "component_id")), "id", "left").select("node", "id", "n", F.coalesce("component_id", "id").alias("label")),
         "named",
     )
     states = named.groupBy("node").agg(
@@ -230,12 +239,12 @@ def _compare_nodes(members: DataFrame, reps: DataFrame, docs: DataFrame, work: W
     label; the shingle sets of those are then compared exactly.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    sketched = members.select("node", "id", "label").join(reps.select("id", "n", "sig"), "id")
+    sketched = members.select("node", "id", "label").join(_dealt(reps.select("id", "n", "sig")), "id")
     likely = sketched.groupBy("node").applyInArrow(_likely_members, f"node long, id {kind}, label {kind}")
     likely = work.save(likely, "likely")
     tidy()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(likely.select("id").distinct(), "id")
-    return likely.join(texts, "id").select("node", "id", "label", "text").groupBy("node").applyInArrow(_link_members, f"src {kind}, dst {kind}")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(_dealt(likely.select("id").distinct()), "id")
+    return likely.join(_dealt(texts), "id").select("node", "id", "label", "text").groupBy("node").applyInArrow(_link_members, f"src {kind}, dst {kind}")
 
 
 def _likely_members(table: pa.Table) -> pa.Table:
@@ -279,8 +288,8 @@ def _deep_nodes() -> Column:
 def _cross(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not yet connected."""
     return (
-        pairs.join(labels.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), "a", "left")
-        .join(labels.select(F.col("id").alias("b"), F.col("component_id").alias("cb")), "b", "left")
+        pairs.join(_dealt(labels.select(F.col("id").alias("a"), F.col("component_id").alias("ca"))), "a", "left")
+        .join(_dealt(labels.select(F.col("id").alias("b"), F.col("component_id").alias("cb"))), "b", "left")
         .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         .select("a", "b")
     )
@@ -334,7 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(work, edges)
     classes = (
         reps.select("k1", "k2", "id", "copies")
-        .join(groups, "id", "left")
+        .join(_dealt(groups), "id", "left")
         .select("k1", "k2", F.coalesce("component_id", "id").alias("component_id"), "copies")
     )
     classes = work.save(classes, "components")

@@ -401,3 +401,17 @@ def test_items_with_all_their_edits_are_found(n):
 def test_walks_follow_the_recall_that_is_asked_for():
     assert decontaminate.walks_for(12, 0.75, 0.999) >= decontaminate.walks_for(12, 0.75, 0.9)
     assert decontaminate.walks_for(60) <= decontaminate.walks_for(8) <= decontaminate.WALKS
+
+
+# --- plans
+
+
+def test_texts_and_sketches_are_dealt_out_at_every_size(spark):
+    rng = random.Random(41)
+    docs = spark.createDataFrame([(i, prose(rng, 20)) for i in range(20)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
+    reps = near_dup.signatures(docs).selectExpr("doc_id as id", "n_shingles as n", "sig")
+    for made in (near_dup.verify(pairs, docs), near_dup._likely(pairs, reps)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
