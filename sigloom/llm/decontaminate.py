@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.words import mix64, slices, word_hashes
+from sigloom.llm.words import mix64, release, slices, word_hashes
 from sigloom.session import ship
 
 SIMILARITY = 0.75
@@ -37,7 +37,7 @@ FULL = 4
 STARTS = 48  # places of an item that walks begin at, about, at most
 TRIALS = 1000  # simulated items of a length
 ITEM_BYTES = 4_000_000  # items that go to the executors at once; more are searched for in blocks
-BITMAP = 22  # bits of a code that a first look checks
+BITMAP = 22  # bits of a code that a first look checks, at most; fewer codes are told apart by fewer
 CHUNK = 512
 _RNG = np.random.default_rng(6)
 _PLACES = {k: [np.arange(k) * SPACING + _RNG.integers(0, SPACING, k) for _ in range(WALKS)] for k in (2, 3, FULL)}
@@ -142,6 +142,11 @@ class Items:
     exact: dict[int, tuple[np.ndarray, np.ndarray]]  # words: sorted keys, item, of items that allow no edit
 
 
+def _look(code: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """The place of each code in a bitmap: as many leading bits as tell its places apart."""
+    return code >> np.uint64(65 - len(bitmap).bit_length())
+
+
 def block_key(words: np.ndarray, size: int) -> np.ndarray:
     n = max(len(words) - size + 1, 0)
     key = np.zeros(n, np.uint64) + np.uint64(size)
@@ -184,8 +189,8 @@ def prepare(table: pa.Table, similarity: float = SIMILARITY, recall: float = REC
         code, item, place = (np.concatenate(c) for c in zip(*found))
         order = np.argsort(code, kind="stable")
         tables[key] = (code[order], item[order], place[order])
-        bitmaps[key] = np.zeros(1 << BITMAP, bool)
-        bitmaps[key][code >> np.uint64(64 - BITMAP)] = True
+        bitmaps[key] = np.zeros(1 << min(BITMAP, len(code).bit_length() + 6), bool)
+        bitmaps[key][_look(code, bitmaps[key])] = True
     keys = {n: (np.array([k for k, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)], np.int64)) for n, v in exact.items()}
     return Items(ids.take(pa.array(kept, pa.int64())), words, edits, most, tables, bitmaps, keys)
 
@@ -240,7 +245,7 @@ def candidates(words: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.n
             codes = walks.codes(walk, tuple(k for k in _PLACES if (walk, k) in items.tables)) if codes is None else codes
             table, item, place = items.tables[walk, k]
             code = codes[k][0]
-            at = np.flatnonzero(items.bitmaps[walk, k][code >> np.uint64(64 - BITMAP)])
+            at = np.flatnonzero(items.bitmaps[walk, k][_look(code, items.bitmaps[walk, k])])
             which, entry = _expand(np.searchsorted(table, code[at], "left"), np.searchsorted(table, code[at], "right"))
             row = np.searchsorted(first, at[which], "right") - 1
             start = at[which] - first[row] - place[entry]
@@ -390,6 +395,9 @@ def _keeper(sent, at: int):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             keep[[x for x, *_ in _hits(batch.column(at), sent.value)]] = False
-            yield batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(keep))
+            yield batch
+            del batch
+        release()
 
     return run

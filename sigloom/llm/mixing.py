@@ -18,12 +18,22 @@ from pyspark.sql import functions as F
 
 from sigloom.workspace import Workspace
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"  # with what parts it from the next
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 BUCKETS = 1 << 16
 
 
+def word_count(text: Column) -> Column:
+    """Words of a text, 0 for null.
+
+    Each word is replaced by one letter: ``regexp_count`` makes strings of all words of a
+    text at once, whose garbage fills an executor's whole heap on large inputs.
+    """
+    return F.coalesce(F.length(F.ltrim(F.regexp_replace(text, WORD, "x"), F.lit(SPACE))), F.lit(0)).cast("long")
+
+
 def uniform(key: Column, seed: str = "") -> Column:
     """A fixed pseudo-random number in (0, 1) for a text."""
     digits = F.substring(F.md5(F.concat(F.lit(seed), key).cast("binary")), 1, 12)
@@ -85,8 +95,7 @@ def mix(
     """
     work = Workspace(docs.sparkSession, "mix")
     body = F.coalesce(F.col(text), F.lit(""))
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = work.save(docs.select("doc_id", "source", size.alias("size"), F.md5(body.cast("binary")).alias("digest")), "sizes")
+    sized = work.save(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.md5(body.cast("binary")).alias("digest")), "sizes")
     sized = _numbered(sized, work)
     u = uniform(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest", "number"), seed)
     kinds = work.save(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "kinds")

@@ -1,6 +1,7 @@
 """Nulls, ties, repeated rows, clashing columns, long texts and exactness of the corpus operators."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -258,6 +259,14 @@ def test_equal_rows_are_told_apart(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
 
 
+def test_words_are_counted_as_by_a_plain_split(spark):
+    rng = random.Random(19)
+    texts = [None, "", " ", "\n\t \x0b\x0c\r", "x", " x", "x ", "\u00a0", "\x1c x\x85y \u2003", "\U0001f600 \U0001f600", "x" * 5000, "xx x$1 \\ x\x00x"]
+    texts += ["".join(rng.choice("ab\u00e9\U0001f600\u00a0\x1f \t\n\x0b\x0c\r") for _ in range(rng.randrange(60))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", mixing.word_count(F.col("text")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in rows} == {i: len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]) for i, t in enumerate(texts)}
+
+
 def test_inclusion_follows_size(spark):
     rng = random.Random(8)
     rows = [(i, "w " * rng.choice([10, 100]), "ab"[i % 2]) for i in range(4000)]
@@ -383,6 +392,13 @@ def test_lines_repeat_within_a_document_and_equal_rows_are_two(spark):
 # --- benchmark
 
 
+def test_the_benchmark_index_follows_the_items():
+    rng = random.Random(29)
+    table = pa.table({"item_id": pa.array(range(100)), "text": [prose(rng, rng.randrange(5, 60)) for _ in range(100)]})
+    items = decontaminate.prepare(table)
+    assert sum(b.nbytes for b in items.bitmaps.values()) < 8_000_000 and all(len(b) >= 64 * len(items.tables[k][0]) for k, b in items.bitmaps.items())
+
+
 @pytest.mark.parametrize("n", [5, 8, 15, 40, 100, 300])
 def test_items_with_all_their_edits_are_found(n):
     rng = random.Random(n)
