@@ -1,7 +1,9 @@
 """Nulls, ties, repeated rows, clashing columns, long texts and exactness of the corpus operators."""
 
+import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -389,6 +391,45 @@ def test_lines_repeat_within_a_document_and_equal_rows_are_two(spark):
     assert len(twins) == len(apart) > 0 and sum(r["kept"] for r in twins) == sum(r["kept"] for r in apart)
 
 
+def test_links_by_rare_shingles_equal_all_pairs(monkeypatch):
+    rng = random.Random(41)
+    for trial in range(40):
+        texts = []
+        for _ in range(rng.randrange(1, 50)):
+            text = rng.choice(texts).split() if texts and rng.random() < 0.7 else [f"w{rng.randrange(6 if trial % 2 else 400)}" for _ in range(rng.randrange(50))]
+            for _ in range(rng.randrange(4) if text else 0):
+                text[rng.randrange(len(text))] = f"w{rng.randrange(6)}"
+            texts.append(" ".join(text))
+        sets = [{tuple(t.split()[i : i + 5]) for i in range(max(len(t.split()) - 4, min(len(t.split()), 1)))} for t in texts]
+        linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        for listed in (words.LISTED, -1):
+            with monkeypatch.context() as m:
+                m.setattr(words, "LISTED", listed)
+                src, dst = words.link_forest(pa.chunked_array([pa.array(texts)]), np.arange(len(texts)), 75)
+            assert all(tuple(sorted(p, reverse=True)) in linked for p in zip(src, dst))
+            assert groups(len(texts), zip(src, dst)) == groups(len(texts), linked)
+
+
+def groups(n, links):
+    root = list(range(n))
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    return sorted(Counter(root).values()), [root.index(r) for r in root]
+
+
+def test_finished_writes_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    files = lambda: set(glob.glob(os.path.join(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath(), "*", "shuffle_*")))
+    before, work = files(), Workspace(spark, "test")
+    kept = spark.range(1000).repartition(5, "id").groupBy("id").count()
+    table = work.save(kept, "t")
+    time.sleep(2)
+    assert not files() - before
+    assert table.count() == kept.count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 # --- benchmark
 
 
