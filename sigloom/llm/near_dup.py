@@ -100,13 +100,14 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _leaf_pairs(members: DataFrame) -> DataFrame:
-    """All pairs within nodes of at most LEAF members (``members(node, id)``), each once."""
-    sets = members.groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
+    """All pairs within nodes of at most LEAF members (``members(node, id)``), each once, dealt out by ``a``."""
+    sets = members.groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids")
     rest = F.transform(
         F.col("ids"),
         lambda x, i: F.transform(F.slice(F.col("ids"), i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b"))),
     )
-    return sets.select(F.explode(F.flatten(rest)).alias("p")).select("p.a", "p.b").distinct()
+    # one shuffle serves the pairs' repeats and what is joined to ``a``, which has few partners in a node
+    return sets.select(F.explode(F.flatten(rest)).alias("p")).select("p.a", "p.b").repartition("a").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -153,12 +154,11 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     large = nodes.where(F.col("size") > LEAF)
     # all later comparisons are among these; their texts are dealt out once
     involved = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id")))
-    involved = involved.unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
-    involved, dealt = work.save(involved, "involved"), []
-    tidy()
+    involved = involved.unionByName(large.select(F.col("id").alias("doc_id")))
+    dealt, own = [], F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(PARTS))
     for part in range(PARTS):
-        here = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(PARTS)) == part)
-        dealt.append(work.save(here.select("doc_id", "text").join(_dealt(involved), "doc_id"), "texts"))
+        here = docs.where(own == part).select("doc_id", "text")
+        dealt.append(work.save(here.join(_dealt(involved.where(own == part).distinct()), "doc_id"), "texts"))
         tidy()
     docs = reduce(DataFrame.unionByName, dealt)
     stars = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -171,17 +171,17 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
         depth += 1
         states, named = _states(large, labels, work)
         fits = (F.col("size") <= NODE_MEMBERS) & (F.col("shingles") <= NODE_SHINGLES)
-        exact = named.join(states.where(fits & F.col("first")).select("node"), "node")
+        exact = named.join(states.where(fits).select("node"), "node")
         found = work.save(_compare_nodes(exact, reps, docs, work), "links")
         tidy()
         edges = work.save(edges.unionByName(found), "links")
         labels = work.save(components(work, edges), "labels")
-        big = named.join(states.where(~fits & F.col("first")).select("node"), "node")
+        big = named.join(states.where(~fits).select("node"), "node")
         if big.isEmpty():
             break
         if depth > DEPTH:
             # tokens do not part these: their members meet block by block, in tasks of bounded size
-            big = named.join(states.where(~fits & F.col("first")).select("node", "size", "shingles"), "node")
+            big = named.join(states.where(~fits).select("node", "size", "shingles"), "node")
             found = work.save(_compare_nodes(_blocks(big), reps, docs, work), "links")
             edges = work.save(edges.unionByName(found), "links")
             labels = work.save(components(work, edges), "labels")
@@ -212,10 +212,7 @@ def link(reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _states(large: DataFrame, labels: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(node, size, shingles, first) of nodes with unconnected members, and their members.
-
-    ``first`` marks one of the nodes that have the same members.
-    """
+    """(node, size, shingles) of nodes with unconnected members, one of those that have the same, and all nodes' members."""
     named = work.save(
         large.join(_dealt(labels.select("id", "component_id")), "id", "left").select("node", "id", "n", F.coalesce("component_id", "id").alias("label")),
         "named",
@@ -227,9 +224,8 @@ def _states(large: DataFrame, labels: DataFrame, work: Workspace) -> tuple[DataF
         F.max("label").alias("hi"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"),
     )
-    states = states.where("lo <> hi")
-    same = states.groupBy("members", "size").agg(F.min("node").alias("node"))
-    return work.save(states.join(same.select("node", F.lit(True).alias("first")), "node").select("node", "size", "shingles", "first"), "states"), named
+    states = states.where("lo <> hi").groupBy("members", "size").agg(F.min("node").alias("node"), F.first("shingles").alias("shingles"))
+    return work.save(states.select("node", "size", "shingles"), "states"), named
 
 
 def _compare_nodes(members: DataFrame, reps: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:

@@ -222,3 +222,33 @@ def test_checks_and_trail(spark):
 def test_groups_per_label(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 1)], "label string, g long")
     assert {tuple(r) for r in supervised.groups_per_label(rows, "label", "g").collect()} == {("a", 2, 3), ("b", 1, 1)}
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    rng = np.random.default_rng(5)
+    path = [(i, i + 1) for i in range(300)]
+    edges = [(a * 7919 % 1009, b * 7919 % 1009) for a, b in path] + [(int(a), int(b)) for a, b in rng.integers(2000, 2400, (150, 2))]
+    frame = spark.createDataFrame([*edges, (5000, None), (5001, 5001)], "src long, dst long").repartition(3)
+    spark.sparkContext.setJobGroup("few", "components")
+    try:
+        few = {r["id"]: r["component_id"] for r in components(Workspace(spark, "t"), frame).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 8
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert few == want
+
+
+def test_components_by_rounds_and_in_one_task_agree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    edges = [(f"é{a}", f"é{b}" if b % 3 else f"Z{b}") for a, b in rng.integers(0, 400, (260, 2)).tolist()]
+    edges += [("hub", f"h{i}") for i in range(1100)]
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    few = sorted(map(tuple, components(Workspace(spark, "t"), frame).collect()))
+    monkeypatch.setattr("sigloom.workspace.FEW", 0)
+    assert few == sorted(map(tuple, components(Workspace(spark, "t"), frame).collect())) and few
