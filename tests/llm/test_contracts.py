@@ -472,3 +472,34 @@ def test_texts_and_sketches_are_dealt_out_at_every_size(spark):
         made.collect()
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_pairs_that_cannot_be_linked_are_told_by_hashes(monkeypatch):
+    rng = random.Random(31)
+    a, b = [], []
+    for _ in range(600):
+        one = [f"w{rng.randrange(rng.choice([2, 6, 3000]))}" for _ in range(rng.randrange(60))]
+        two = one[rng.randrange(4) :] + ["y"] * rng.randrange(3)
+        for _ in range(rng.randrange(6) if two else 0):
+            two[rng.randrange(len(two))] = f"x{rng.randrange(9)}"
+        a.append(" ".join(one))
+        b.append(" ".join(two))
+    linked = [(lambda i, u: u > 0 and 100 * i >= 75 * u)(*paragraph_dup.similarity(x, y)) for x, y in zip(a, b)]
+    near = words.maybe_linked(pa.array(a), pa.array(b), np.arange(len(b)), 75)
+    assert any(linked) and not any(x and not y for x, y in zip(linked, near.tolist()))
+    # windows of 40 words that begin 10 words apart have 26 of 46 shingles in common
+    line = [f"v{i}" for i in range(300)]
+    cut = [" ".join(line[i : i + 40]) for i in range(0, 250, 10)]
+    ids = pa.array(range(24))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array([i // 2 for i in range(24)]), pa.array(cut[1:]), pa.array(cut[:-1])], ["a", "b", "ua", "ub"])
+    seen = []
+    judged = paragraph_dup.linked_pairs
+    monkeypatch.setattr(paragraph_dup, "linked_pairs", lambda x, y, *rest: seen.append(len(y)) or judged(x, y, *rest))
+    assert sum(r.num_rows for r in paragraph_dup._verified(iter([batch]))) == 0 and sum(seen) == 0
+
+
+def test_paragraphs_keep_the_type_of_ids(spark):
+    line = prose(random.Random(17), 60)
+    got = paragraph_dup.repeated_paragraphs(spark.createDataFrame([(3, line), (9, line)], "doc_id int, text string"))
+    assert dict(got.dtypes)["doc_id"] == dict(got.dtypes)["first_doc_id"] == "int"
+    assert {(r["doc_id"], r["first_doc_id"]) for r in got.collect()} == {(3, 3), (9, 3)}
