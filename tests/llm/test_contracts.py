@@ -1,5 +1,6 @@
 """Nulls, ties, repeated rows, clashing columns, long texts and exactness of the corpus operators."""
 
+import itertools
 import os
 import random
 import re
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sigloom import workspace as shared_workspace
 from sigloom.llm import decontaminate, embedding_dup, language, mixing, near_dup, paragraph_dup, pipeline, quality, queries, substrings, url_filter, words
 from sigloom.llm.workspace import Workspace, fresh, hot_join, keyed_rows
 
@@ -498,6 +500,49 @@ def test_pairs_that_cannot_be_linked_are_told_by_hashes(monkeypatch):
     assert sum(r.num_rows for r in paragraph_dup._verified(iter([batch]))) == 0 and sum(seen) == 0
 
 
+def test_small_buckets_are_compared_together_and_linked_apart(monkeypatch):
+    rng = random.Random(37)
+    rows = []
+    for bucket in range(300):
+        one = prose(rng, 40).split()
+        for _ in range(rng.choice([1, 2, 3, 9])):
+            two = list(one)
+            for _ in range(rng.randrange(3)):
+                two[rng.randrange(40)] = f"x{rng.randrange(9)}"
+            rows.append((bucket, len(rows), " ".join(two)))
+            if rng.random() < 0.3:  # stands in the next bucket too
+                rows.append((bucket + 1, len(rows), " ".join(two)))
+    rows.sort()
+    want = {}
+    for bucket, group in itertools.groupby(rows, lambda r: r[0]):
+        group = list(group)
+        label = {i: i for _, i, _ in group}
+        for (_, i, x), (_, j, y) in itertools.combinations(group, 2):
+            inter, union = paragraph_dup.similarity(x, y)
+            if 100 * inter >= 75 * union:
+                label = {k: min(label[i], label[j]) if v in (label[i], label[j]) else v for k, v in label.items()}
+        want |= label
+    calls = []
+    compare = paragraph_dup.group_forest
+    monkeypatch.setattr(paragraph_dup, "TOGETHER", 500)
+    monkeypatch.setattr(paragraph_dup, "group_forest", lambda *a: calls.append(1) or compare(*a))
+    batches = pa.table([pa.array(c) for c in zip(*rows)], ["bucket", "d", "unit"]).to_batches(max_chunksize=100)
+    got = {i: i for _, i, _ in rows}
+    links = [tuple(r.values()) for b in paragraph_dup._compared(iter(batches)) for r in b.to_pylist()]
+    for i, j in links:
+        got = {k: min(got[i], got[j]) if v in (got[i], got[j]) else v for k, v in got.items()}
+    assert got == want and len(set(want.values())) < len(want) and 2 <= len(calls) <= 5
+
+
+def test_repeated_links_count_once_for_one_task(spark, monkeypatch):
+    monkeypatch.setattr(shared_workspace, "FEW", 4)
+    rounds = []
+    monkeypatch.setattr(shared_workspace, "_digest", lambda df: rounds.append(1) or (0, 0, 0))
+    edges = spark.createDataFrame([(3, 1), (2, 1), (3, 2)] * 5, "src long, dst long")
+    got = shared_workspace.components(Workspace(spark, "test"), edges).collect()
+    assert {(r["id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1)} and not rounds
+
+
 def test_paragraphs_keep_the_type_of_ids(spark):
     line = prose(random.Random(17), 60)
     got = paragraph_dup.repeated_paragraphs(spark.createDataFrame([(3, line), (9, line)], "doc_id int, text string"))
