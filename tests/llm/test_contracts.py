@@ -534,6 +534,20 @@ def test_small_buckets_are_compared_together_and_linked_apart(monkeypatch):
     assert got == want and len(set(want.values())) < len(want) and 2 <= len(calls) <= 5
 
 
+def test_links_of_many_batches_are_numbered_at_once():
+    import time
+
+    def batches(kind, many):
+        ends = np.random.default_rng(41).integers(0, 2**40, (2, 1000 * many)) if kind == pa.int64() else np.array([["b", "c"] * many, ["a", "b"] * many])
+        table = pa.table([pa.array(ends.max(0) if kind == pa.int64() else ends[0], kind), pa.array(ends.min(0) if kind == pa.int64() else ends[1], kind)], ["u", "v"])
+        return iter(table.to_batches(max_chunksize=1000))
+
+    assert {tuple(r.values()) for b in shared_workspace._labelled(batches(pa.string(), 600)) for r in b.to_pylist()} == {(x, "a") for x in "abc"}
+    began = time.process_time()
+    assert sum(b.num_rows for b in shared_workspace._labelled(batches(pa.int64(), 400))) > 790_000
+    assert time.process_time() - began < 6
+
+
 def test_repeated_links_count_once_for_one_task(spark, monkeypatch):
     monkeypatch.setattr(shared_workspace, "FEW", 4)
     rounds = []
